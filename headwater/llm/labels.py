@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,6 +27,9 @@ FUNCTION_WORDS = {
     "es": "el la los las de que y en un una por con para es se del al lo como más pero sus este esta si cuando porque aunque cada sobre entre luego",
     "fr": "le la les de des et un une est que qui dans en du pour par sur au aux avec ne pas plus ce cette ou mais si chaque quand lorsque puis",
 }
+# Endings that tell these languages apart where a text has hardly any function word.
+ENDINGS = {"de": "ung keit heit lich isch schaft", "en": "tion ing ity ness ed ly ous al", "es": "ción dad mente aje ado ada", "fr": "ité eux euse eur ique ement"}
+ENDINGS = {k: tuple(v.split()) for k, v in ENDINGS.items()}
 _KANA = re.compile(r"[぀-ヿ]")
 _HAN = re.compile(r"[㐀-鿿]")
 _LATIN_WORD = re.compile(r"[^\W\d_]+")
@@ -35,21 +39,29 @@ for _lang, _text in FUNCTION_WORDS.items():
         _BY_WORD.setdefault(_w, []).append(_lang)
 
 
-def language_of(text: str | None) -> str | None:
-    """Language of the whole text: by script, else by its function words; None if nothing decides."""
+def language_of(text: str | None, words: list[str] | None = None) -> str | None:
+    """Language of the whole text: by script, else by its function words, else by endings; None if nothing decides.
+
+    words are its words in any case, where the caller has them already.
+    """
     if not text:
         return None
-    kana, han = len(_KANA.findall(text)), len(_HAN.findall(text))
-    words = _LATIN_WORD.findall(text.lower())
-    latin = sum(map(len, words)) - kana - han
-    if kana + han > 0 and (kana + han) * 2 > max(0, latin):
-        return "ja" if kana * 10 >= kana + han else "zh"
+    counts = Counter(words if words is not None else _LATIN_WORD.findall(text))
+    if not text.isascii():
+        kana, han = len(_KANA.findall(text)), len(_HAN.findall(text))
+        # One such sign says about as much as three Latin letters.
+        if kana + han and (kana + han) * 3 > sum(len(w) * n for w, n in counts.items()) - kana - han:
+            return "ja" if kana * 10 >= kana + han else "zh"
     score = dict.fromkeys(FUNCTION_WORDS, 0.0)
-    get = _BY_WORD.get
-    for w in words:
-        if (langs := get(w)) is not None:
+    get = counts.get
+    for w, langs in _BY_WORD.items():
+        if n := get(w, 0) + get(w.capitalize(), 0) + get(w.upper(), 0) * (len(w) > 1):
             for lang in langs:
-                score[lang] += 1.0 / len(langs)
+                score[lang] += n / len(langs)
+    if sum(score.values()) * 20 < sum(counts.values()):
+        lower = [(w.lower(), n) for w, n in counts.items()]
+        for lang, ends in ENDINGS.items():
+            score[lang] += 0.5 * sum(n for w, n in lower if w.endswith(ends))
     best = max(sorted(score), key=lambda k: score[k])
     return best if score[best] > 0 else None
 
