@@ -32,11 +32,11 @@ def train_sizes(examples: DataFrame, targets: DataFrame) -> DataFrame:
 def supply(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """One row per source of targets: its supply, the total of all rows and whether repeating is enough."""
     have = sizes.groupBy("source").agg(F.sum("size").alias("supply"), F.count("*").alias("texts"))
-    total = have.agg(F.coalesce(F.sum("supply"), F.lit(0)).cast("long").alias("total"))
+    total = have.agg(F.coalesce(F.sum("supply"), F.lit(0)).cast("long").alias("total")).scalar()
     return (
         targets.select("source", "target_share", "max_repeats")
         .join(have, "source", "left")
-        .join(F.broadcast(total))  # one row
+        .withColumn("total", total)
         .select(
             "source", "target_share", "max_repeats", F.coalesce("supply", F.lit(0)).cast("long").alias("supply"), F.coalesce("texts", F.lit(0)).cast("long").alias("texts"), "total",
             (F.col("max_repeats") * F.coalesce("supply", F.lit(0)) < F.col("target_share") * F.col("total")).alias("short"),
@@ -152,9 +152,9 @@ def mix_report(examples: DataFrame, targets: DataFrame, *, block: int = 4096, pe
         .join(have.select("source", "supply"), "source")
         .groupBy("source").agg(F.sum(F.col("times") * last).alias("chars"), F.max("times").alias("most_repeats"), F.sum("times").alias("slots"))
     )
-    every = taken.agg(F.sum("chars").alias("all_chars"))
     return (
-        have.join(taken, "source", "left").join(F.broadcast(every))  # one row
+        have.join(taken, "source", "left")
+        .withColumn("all_chars", F.sum("chars").over(Window.partitionBy(F.lit(1))))  # a row per source of targets
         .select(
             "source", "target_share", "max_repeats", "supply", "texts", "total", F.coalesce("slots", F.lit(0)).cast("long").alias("slots"), F.coalesce("chars", F.lit(0)).cast("long").alias("chars"),
             F.coalesce("most_repeats", F.lit(0)).cast("long").alias("most_repeats"), F.round(F.try_divide(F.coalesce("chars", F.lit(0)), F.col("all_chars")), 9).alias("actual_share"), F.coalesce("short", F.lit(False)).alias("short"),
