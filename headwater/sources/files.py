@@ -8,8 +8,8 @@ from pyspark.sql import types as T
 
 from headwater.operators.filters import markdown_path
 
-RAW_SCHEMA = T.StructType.fromDDL(f"content STRING, headings ARRAY<STRUCT<text: STRING, level: INT>>, source STRING, meta STRUCT<repo: STRING, path: STRING, license: STRING, is_priority_path: BOOLEAN, title: STRING, pageid: BIGINT, categories: ARRAY<STRING>, max_level_gap: INT>")
-EXAMPLE_SCHEMA = T.StructType.fromDDL(
+RAW_SCHEMA = "content STRING, headings ARRAY<STRUCT<text: STRING, level: INT>>, source STRING, meta STRUCT<repo: STRING, path: STRING, license: STRING, is_priority_path: BOOLEAN, title: STRING, pageid: BIGINT, categories: ARRAY<STRING>, max_level_gap: INT>"
+EXAMPLE_SCHEMA = (
     "messages ARRAY<STRUCT<role: STRING, content: STRING>>, metadata STRUCT<source: STRING, token_count: INT, heading_count: INT, max_depth: INT, min_depth: INT, max_level_gap: INT, "
     "repo: STRING, path: STRING, license: STRING, is_priority_path: BOOLEAN, title: STRING, pageid: BIGINT, categories: ARRAY<STRING>>"
 )
