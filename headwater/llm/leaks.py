@@ -32,8 +32,15 @@ _LOOKALIKE = str.maketrans(
 )
 _TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]{0,300}>", re.S)
 _LINK = re.compile(r"\]\([^()\s]*(?:\s+\"[^\"]*\")?\)|\]\[[^\]]*\]")
-_U_ESCAPE = re.compile(r"\\u\{?([0-9A-Fa-f]{4,6})\}?|\\x([0-9A-Fa-f]{2})|%([0-9A-Fa-f]{2})|=([0-9A-F]{2})(?![0-9A-Za-z])")
-_C_ESCAPE = re.compile(r"\\[nrt](?![a-z]{2})|\\[nrt](?=[A-Z\\\s]|$)")
+_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|%([0-7][0-9A-Fa-f])|=([2-7][0-9A-F])(?![0-9A-Za-z])")
+
+
+def _unescape(m: re.Match) -> str:
+    code = int(next(x for x in m.groups() if x), 16)
+    return chr(code) if code < 0x110000 else m[0]
+
+
+_C_ESCAPE = re.compile(r"\\[nrt]")
 _HYPHEN_BREAK = re.compile(r"(?<=[^\W\d_])[-‐­][ \t]*\r?\n[ \t>]*(?=[^\W\d_])")
 _GLUE = str.maketrans("", "", "*~`\\")
 #: Combining marks, variation selectors and characters without width.
@@ -52,7 +59,7 @@ def plain_words(text: str) -> list[str]:
     if "](" in s or "][" in s:
         s = _LINK.sub("]", s)
     if "\\u" in s or "\\x" in s or "%" in s:
-        s = _U_ESCAPE.sub(lambda m: chr(int(m[1], 16)) if m[1] and int(m[1], 16) < 0x110000 else chr(int(m[2], 16)) if m[2] else chr(int(m[3], 16)) if m[3] and int(m[3], 16) < 128 else m[0], s)
+        s = _ESCAPE.sub(_unescape, s)
     if "\\" in s:
         s = _C_ESCAPE.sub(" ", s)
     if "-\n" in s or "-\r" in s or "\u00ad" in s or "\u2010" in s:
