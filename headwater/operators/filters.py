@@ -71,3 +71,8 @@ def drop_counts(df: DataFrame, keep: Column) -> DataFrame:
     """(before, after, dropped) of a filter, in one pass."""
     kept = F.count_if(keep)
     return df.agg(F.count("*").alias("before"), kept.alias("after"), (F.count("*") - kept).alias("dropped"))
+
+
+def progress(df: DataFrame, name: str, *extra: Column) -> DataFrame:
+    """df that reports its number of rows (and more aggregates) under a name while it is written; no second pass."""
+    return df.observe(name, F.count("*").alias("rows"), *extra)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from headwater.functions import markdown as M
 from headwater.functions import tokens
 from headwater.operators import chat, evaluation, filters, sampling
+from headwater.sources import files
 
 
 def ingest_code(files: DataFrame, order_col: str, *, targets: dict[str, int] | None = None, **limits: int) -> DataFrame:
@@ -50,3 +51,12 @@ def evaluate(examples: DataFrame, predictor: Callable[[Column], Column]) -> Data
     heads = chat.truth(F.col("messages"))
     df = examples.withColumn("truth", heads).withColumn("ground_truth_levels", M.levels(F.col("truth"))).withColumn("predicted_levels", predictor(M.texts(F.col("truth"))))
     return evaluation.score(df)
+
+
+def run_evaluation(examples: DataFrame, predictor: Callable[[Column], Column], folder: str | None = None, *, overwrite: bool = False) -> DataFrame:
+    """Metrics of every slice; with a folder, they and the scored examples are written there."""
+    scored = evaluate(examples, predictor)
+    slices = evaluation.by_slice(scored, F.col("metadata.token_count"), F.col("metadata.heading_count"), F.col("metadata.source"))
+    if folder is not None:
+        files.write_results(scored.select("predicted_levels", "ground_truth_levels", "exact_match", "per_heading_accuracy", "hierarchy_preservation", "mean_absolute_error", "level_count_match", "error_class", "metadata"), slices, folder, overwrite=overwrite)
+    return slices

@@ -2,6 +2,7 @@
 
 import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -34,7 +35,7 @@ def test_same_as_sql(spark, small, db, name):
     assert sorted(names) == columns and got == want
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if n not in entry.oracle_sql() and not n.startswith("p")))
+@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if n not in entry.oracle_sql() and not re.match(r"p\d+_", n)))
 def test_runs(spark, small, name):
     assert entry.queries()[name](spark, small).count() >= 0
 

@@ -138,3 +138,25 @@ def test_streaming(spark, tmp_path):
         assert {r["level"]: r["n"] for r in spark.table("levels").groupBy("level").agg(F.sum("n").alias("n")).collect()} == {1: 4, 2: 8}
     finally:
         q.stop()
+
+
+def test_full_evaluation_writes_results(spark, tmp_path):
+    meta = "struct<source string, token_count int, heading_count int>"
+    row = ([("system", "s"), ("user", "# A\n\n# B"), ("assistant", "# A\n## B\nnoise")], ("goodwiki", 10, 3))
+    examples = spark.createDataFrame([row], f"messages array<struct<role string, content string>>, metadata {meta}")
+    slices = pipelines.run_evaluation(examples, predict.heuristic_levels, str(tmp_path / "out"))
+    assert {r["slice"] for r in slices.where("n > 0").collect()} == {"overall", "len:< 2k", "headings:3-5 headings", "source:goodwiki"}
+    lines = "".join(p.read_text() for p in (tmp_path / "out" / "per_example").glob("part-*")).splitlines()
+    assert json.loads(lines[0])["exact_match"] == 1.0
+    metrics = [json.loads(x) for p in (tmp_path / "out" / "metrics").glob("part-*") for x in p.read_text().splitlines()]
+    assert len(metrics) == 12
+
+
+def test_progress_is_observed(spark):
+    from pyspark.sql import Observation
+
+    from headwater.operators import filters
+
+    seen = Observation("seen")
+    filters.progress(spark.range(10), seen).where("id > 3").collect()
+    assert seen.get == {"rows": 10}
