@@ -96,7 +96,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (p1_found, p1_coverage, p2_found, p2_groups, p3_found, p3_assign, p4_budget, p5_found, p5_pieces, p6_found, p6_kinds, p7_found, p7_mix, p7_blocks, p8_ids, p9_found, p10_found, p10_levels)
 }
 
+_REPO = r"regexp_replace(regexp_replace(regexp_replace(lower(trim({0})), '^[a-z][a-z0-9+.-]*://[^/]*/+', ''), '^[^/@:\s]+@[^/:\s]+:/*', ''), '(\.git)?/*$', '')"
+_TITLE = r"trim(regexp_replace(lower(nfc_normalize(url_decode({0}))), '[\s_\x{{00a0}}]+', ' ', 'g'))"
+
+# Texts (kind, id, split, text) to pairs of close ones; words, runs and similarity as in TESTDATA.md.
+_CLOSE = r"""
+        words as (select kind, id, split, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from texts where text is not null),
+        runs as (select kind, id, split, list_distinct(list_transform(range(1, len(w) - 1), lambda i: concat(w[i], ' ', w[i + 1], ' ', w[i + 2]))) as r from words where len(w) >= 30),
+        one as (select kind, id, split, len(r) as n, unnest(r) as run from runs),
+        met as (select a.kind, a.id as id_a, b.id as id_b, any_value(a.n) as n_a, any_value(b.n) as n_b, count(*) as shared from one a join one b on a.kind = b.kind and a.run = b.run and a.id < b.id {and} group by all)
+        select {columns} from met where shared >= 0.5 * (n_a + n_b - shared)
+"""
+_ACROSS = "and ((a.split = 'train' and b.split in ('validation', 'test')) or (b.split = 'train' and a.split in ('validation', 'test')))"
+
 ORACLE: dict[str, str] = {
+    "p1_found": """
+        with texts as (select 'raw' as kind, record_id as id, split, content as text from raw_documents union all
+            select 'example', example_id, split, array_to_string([coalesce(m.content, '') for m in messages if lower(trim(m.role)) = 'user'], chr(10)) from training_examples),"""
+    + _CLOSE.replace("{and}", _ACROSS).replace("{columns}", "kind, id_a, id_b"),
+    "p2_found": "with texts as (select 'raw' as kind, record_id as id, split, content as text from raw_documents)," + _CLOSE.replace("{and}", "").replace("{columns}", "id_a, id_b"),
+    "p2_groups": "with recursive texts as (select 'raw' as kind, record_id as id, split, content as text from raw_documents),"
+    + _CLOSE.replace("{and}", "").replace("select {columns} from met", ", pairs as (select id_a, id_b, shared = n_a + n_b - shared as same from met")
+    + """), sides as (select id_a as x, id_b as y, same from pairs union all select id_b, id_a, same from pairs),
+        reach as (select id as node, id as other from runs union select node, y from reach join sides on other = x),
+        grouped as (select node, min(other) as group_id from reach group by node),
+        linked as (select x, count(*) as n_links, min(case when same then y end) as twin from sides group by x)
+        select node as record_id, least(node, coalesce(twin, node)) as rep, coalesce(n_links, 0) as n_links, group_id from grouped left join linked on x = node""",
+    "p3_found": f"""
+        with recursive keys as (select record_id, lower(trim(split)) as split, 'repo:' || nullif({_REPO.format("meta.repo")}, '') as r, 'title:' || nullif({_TITLE.format("meta.title")}, '') as t from raw_documents),
+        pairs as (select r as a, t as b from keys where r is not null and t is not null
+                  union select 'repo:' || {_REPO.format("old_key")}, 'repo:' || {_REPO.format("new_key")} from key_aliases where kind = 'repo'
+                  union select 'title:' || {_TITLE.format("old_key")}, 'title:' || {_TITLE.format("new_key")} from key_aliases where kind = 'title'),
+        edges as (select a, b from pairs union select b, a from pairs),
+        reach as (select a as node, b as other from edges union select x.node, e.b from reach x join edges e on e.a = x.other),
+        roots as (select node, least(node, min(other)) as root from reach group by node),
+        placed as (select record_id, split, coalesce(root, n.node) as g from (select record_id, split, coalesce(r, t) as node from keys) n left join roots on roots.node = n.node where n.node is not null),
+        torn as (select g from placed where split is not null group by g having count(distinct split) > 1)
+        select distinct record_id from placed join torn using (g) where split is not null
+    """,
     "p5_found": """
         select record_id, case when list_max([length(l) for l in string_split(content, chr(10))]) > 6000 then 'inside' else 'line' end as cut
         from raw_documents where length(content) > 6000
