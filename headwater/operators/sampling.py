@@ -12,21 +12,28 @@ BUCKET_TARGETS = {"< 4k": 50_000, "4k-8k": 30_000, "8k-16k": 15_000, "16k-32k":
 DEPTH_MULTIPLIERS = {4: 2, 5: 4, 6: 8}
 
 
-def bucket_quota(df: DataFrame, order_col: str, bucket_col: str = "bucket", targets: dict[str, int] | None = None) -> DataFrame:
+def bucket_quota(df: DataFrame, order_col: str, bucket_col: str = "bucket", targets: dict[str, int] | None = None, salts: int = 64) -> DataFrame:
     """The first documents of each bucket, in the order given, up to its target; a bucket without a target takes none.
 
-    The rank filter is pushed below the shuffle (WindowGroupLimit), so each task sends at most the
-    target of each bucket.
+    Order and bucket alone are ranked, first within salts of a bucket, then among what is left, to find
+    where each bucket ends; both ranks are pushed below their shuffles (WindowGroupLimit).  The
+    documents themselves are filtered by that end where they are, so of their columns only accepted
+    rows ever move.  Whatever df computes is computed twice unless it is stored before.
     """
     targets = BUCKET_TARGETS if targets is None else targets
     most = max([0, *targets.values()])
-    limit = None
+    limit = F.lit(0)
     for label, n in targets.items():
-        hit = F.col(bucket_col) == label
-        limit = F.when(hit, n) if limit is None else limit.when(hit, n)
-    rank = F.row_number().over(Window.partitionBy(bucket_col).orderBy(order_col))
-    ranked = df.where(F.col(bucket_col).isin(list(targets))).withColumn("__rank", rank).where(F.col("__rank") <= most)
-    return (ranked.where(F.col("__rank") <= limit) if limit is not None else ranked).drop("__rank")
+        limit = F.when(F.col(bucket_col) == label, n).otherwise(limit)
+    wanted = df.where(F.col(bucket_col).isin([k for k, n in targets.items() if n > 0]))
+    places = wanted.select(bucket_col, order_col).withColumn("__salt", F.pmod(F.xxhash64(order_col), F.lit(salts)))
+    in_salt = F.row_number().over(Window.partitionBy(bucket_col, "__salt").orderBy(order_col))
+    overall = F.row_number().over(Window.partitionBy(bucket_col).orderBy(order_col))
+    left = places.withColumn("__rank", in_salt).where(F.col("__rank") <= most).select(bucket_col, order_col)
+    ends = left.withColumn("__rank", overall).where(F.col("__rank") <= most).where(F.col("__rank") == limit).select(bucket_col, F.col(order_col).alias("__end"))
+    inside = wanted.join(F.broadcast(ends), bucket_col, "left").where(F.col("__end").isNull() | (F.col(order_col) <= F.col("__end"))).drop("__end")  # ends: a row per bucket
+    # Only ties at the end are still too many.
+    return inside.withColumn("__rank", overall).where(F.col("__rank") <= most).where(F.col("__rank") <= limit).drop("__rank").select(*df.columns)
 
 
 def split_key(repo: Column, title: Column) -> Column:
