@@ -149,3 +149,15 @@ def test_alignment_covers_what_is_shared():
     in_a, in_b = overlap.align(a, b)
     assert in_a.sum() == in_b.sum() == 98
     assert [x.sum() for x in overlap.align(a[:3], b)] == [0, 0]
+
+
+def test_bitmap_keeps_what_is_wanted(spark):
+    from headwater.llm import prefilter
+
+    wanted = spark.range(0, 3000, 7)
+    words_ = prefilter.bitmap(wanted, "id", bits=16)
+    assert len(words_) == 1 << 10
+    rows = spark.range(3000).withColumn("bit", prefilter.bit_of("id", bits=16))
+    kept = {r[0] for r in rows.mapInArrow(prefilter.only(words_, lambda batches: batches), "id long").collect()}
+    assert set(range(0, 3000, 7)) <= kept and len(kept) < 600
+    assert prefilter.bitmap(wanted.limit(0), "id", bits=16).sum() == 0
