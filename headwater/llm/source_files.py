@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from headwater.session import cut
+
 # Folders that hold what tools write, and what other projects wrote.
 GENERATED_DIRS = frozenset("gen generated __generated__ _generated autogen auto_generated autogenerated generated-sources generated_src codegen".split())
 VENDORED_DIRS = frozenset(
@@ -43,6 +45,11 @@ _PROSE_EXT = frozenset("md markdown mdx rst txt adoc org".split())
 EXT_LANG = {"py": "python", "js": "javascript", "mjs": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "java": "java", "c": "c", "h": "c", "cc": "c", "cpp": "c", "css": "css", "sh": "shell", "ini": "ini", "cfg": "ini", "rb": "ruby", "rs": "rust", "php": "php"}
 _ALPHABET = {c: i + 1 for i, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789_$")}
 _SIDE = len(_ALPHABET) + 1  # 0 is either end
+#: Pairs after each character that the model of all languages counts for in the model of one.
+_PRIOR = 20
+#: Part of the hand-written files of a language whose names cost less than mangled ones do, names that a
+#: file needs to be scored, and scored files that a language needs for a bound of its own.
+_WRITTEN, _LEAST_NAMES, _LEAST_FILES = 0.95, 8, 50
 
 
 def language(label: str | None, path: str | None) -> str:
@@ -71,15 +78,31 @@ def bigrams(names: list[str]) -> np.ndarray:
     return codes[:-1] * _SIDE + codes[1:]
 
 
+def shape(text: str) -> tuple[int, int, float, int]:
+    """(bytes, solid bytes, share of blanks, longest line)."""
+    raw = text.encode("utf-8", "surrogatepass")
+    solid = len(raw.translate(None, _SPACE))
+    return len(raw), solid, 1 - solid / max(1, len(raw)), max(map(len, text.split("\n")))
+
+
+def is_dense(longest_line: int, blank_share: float) -> bool:
+    return longest_line >= 250 and blank_share <= 0.08
+
+
 def _count_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task: how often each pair of characters stands in the names of each language, each name once a file."""
+    """Per task: how often each pair of characters stands in the names of each language, each name
+    once a file.  Dense files and those whose path says that nobody wrote them here are left out."""
     total: dict[str, np.ndarray] = {}
     for b in batches:
         names: dict[str, list[str]] = {}
         for label, path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
             lang = language(label, path)
-            if lang != "markdown":
-                own = set(_NAME.findall(text.as_py()))
+            if lang != "markdown" and not by_path(path):
+                text = text.as_py()
+                _, _, blanks, longest = shape(text)
+                if is_dense(longest, blanks):
+                    continue
+                own = set(_NAME.findall(text))
                 own.discard("")
                 names.setdefault(lang, []).extend(own)
         for lang, listed in names.items():
@@ -91,14 +114,14 @@ def _count_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def name_models(files: DataFrame, *, most_languages: int = 64) -> dict[str, np.ndarray]:
-    """Bits of each pair of characters given its first, per language, from the names of all files.
+    """Bits of each pair of characters given its first, per language, from the names of hand-written files.
 
     At most most_languages languages, those with the most pairs, get a model of their own, and all
     together make the model ``*`` that serves the others: at most (most_languages + 1) * 39 ** 2 rows
-    reach the driver.
+    reach the driver.  A model of few names leans on ``*``.
     """
     counted = files.select("code_lang", "path", "content").where(F.col("content").isNotNull()).mapInArrow(_count_names, "lang string, pair int, n long")
-    counted = counted.groupBy("lang", "pair").agg(F.sum("n").alias("n"))
+    counted = cut(counted.groupBy("lang", "pair").agg(F.sum("n").alias("n")))
     top = [r[0] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()]
     rows = counted.withColumn("lang", F.when(F.col("lang").isin(top), F.col("lang")).otherwise("*")).groupBy("lang", "pair").agg(F.sum("n").alias("n")).collect()
     tables: dict[str, np.ndarray] = {"*": np.zeros(_SIDE * _SIDE)}
@@ -107,8 +130,10 @@ def name_models(files: DataFrame, *, most_languages: int = 64) -> dict[str, np.n
         if lang != "*":
             tables["*"][pair] += n
     out = {}
+    every = (tables["*"] + 0.5).reshape(_SIDE, _SIDE)
+    every /= every.sum(axis=1, keepdims=True)
     for lang, t in tables.items():
-        t = (t + 0.5).reshape(_SIDE, _SIDE)
+        t = every if lang == "*" else t.reshape(_SIDE, _SIDE) + _PRIOR * every
         out[lang] = -np.log2(t / t.sum(axis=1, keepdims=True)).ravel()
     return out
 
@@ -157,68 +182,94 @@ def style(names: list[str]) -> float:
     return snake / (snake + camel) if snake + camel else -1.0
 
 
-def examine(text: str, bits: np.ndarray) -> dict:
-    """Measures of one file.  Names and literals are gone through only where cheap counts leave a
-    question: files of short, spaced lines with few digits and no blob are neither dense nor data."""
-    lines = text.split("\n")
+def by_path(path: str | None) -> list[str]:
+    """What folders and the file's name alone say."""
+    parts = [x for x in (path or "").replace("\\", "/").lower().split("/") if x]
+    dirs, name = set(parts[:-1]), parts[-1] if parts else ""
+    found = (("generated", dirs & GENERATED_DIRS or _GENERATED_NAME.search(name)), ("minified", _MIN_NAME.search(name)), ("vendored", dirs & VENDORED_DIRS))
+    return [kind for kind, said in found if said]
+
+
+def examine(text: str, bits: np.ndarray, prose: bool = False) -> dict:
+    """Measures of one file.  Literals, diversity and style are gone through only where cheap counts leave a
+    question: files of short, spaced lines with few digits and no blob are neither dense nor data.
+    entropy: mean bits of a pair of characters in the distinct names; 0 in prose and with too few names."""
+    size, solid, blanks, longest = shape(text)
     raw = text.encode("utf-8", "surrogatepass")
-    solid = len(raw.translate(None, _SPACE))
-    digits = len(raw) - len(raw.translate(None, _DIGITS))
-    head = head_comments(lines)
+    digits = size - len(raw.translate(None, _DIGITS))
+    head = head_comments(text.split("\n"))
     m = {
         "marked": bool(head) and _GENERATED_MARK.search(head) is not None, "taken": bool(head) and _VENDORED_MARK.search(head) is not None,
-        "longest_line": max(map(len, lines)), "blank_share": 1 - solid / max(1, len(raw)), "entropy": 0.0, "name_length": 99.0, "diversity": 1.0, "literals": 0.0, "snake": -1.0,
+        "longest_line": longest, "blank_share": blanks, "entropy": 0.0, "name_length": 99.0, "diversity": 1.0, "literals": 0.0, "snake": -1.0,
     }
     literal = digits > 0.1 * solid or _BLOB.search(text) is not None
     if literal:
         m["literals"] = literal_share(text, solid)
-    if literal or m["longest_line"] >= 250 or m["blank_share"] < 0.1:
-        names = identifiers(text)
-        if names:
-            codes = bigrams(names)
-            m |= {"entropy": float(bits[codes].mean()), "name_length": sum(map(len, names)) / len(names), "diversity": stem_diversity(names), "snake": style(names)}
+    names = [] if prose else identifiers(text)
+    own = sorted(set(names))
+    if len(own) >= _LEAST_NAMES:
+        m["entropy"] = float(bits[bigrams(own)].mean())
+    if names and (literal or longest >= 250 or blanks < 0.1):
+        m |= {"name_length": sum(map(len, names)) / len(names), "diversity": stem_diversity(names), "snake": style(names)}
     return m
 
 
 def kinds_of(path: str | None, m: dict, lang: str) -> list[str]:
-    """What the path and the measures say, without regard to other projects' names."""
-    parts = [x for x in (path or "").replace("\\", "/").lower().split("/") if x]
-    dirs, name = set(parts[:-1]), parts[-1] if parts else ""
-    prose = lang == "markdown"
+    """What the path and the measures say, without regard to other projects' names and to what names cost elsewhere."""
+    said, prose = by_path(path), lang == "markdown"
     out = []
-    if m["marked"] or dirs & GENERATED_DIRS or _GENERATED_NAME.search(name) or (not prose and m["diversity"] <= 0.25):
+    if m["marked"] or "generated" in said or (not prose and m["diversity"] <= 0.25):
         out.append("generated")
-    mangled = m["name_length"] <= 4.0 or m["entropy"] >= 5.2
-    dense = m["longest_line"] >= 250 and m["blank_share"] <= 0.08
-    if not prose and (_MIN_NAME.search(name) or (dense and mangled and m["literals"] < 0.5)):
+    if not prose and ("minified" in said or (may_be_minified(m) and m["name_length"] <= 4.0)):
         out.append("minified")
-    if dirs & VENDORED_DIRS or m["taken"]:
+    if "vendored" in said or m["taken"]:
         out.append("vendored")
     if not prose and lang != "ini" and m["literals"] >= 0.6:
         out.append("data")
     return out
 
 
+def may_be_minified(m: dict) -> bool:
+    """Dense and no data: minified if its names are mangled."""
+    return is_dense(m["longest_line"], m["blank_share"]) and m["literals"] < 0.5
+
+
 def _examine_rows(models: dict[str, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: dict[str, list] = {k: [] for k in ("file_id", "repo_name", "projects", "lang", "kinds", "entropy", "name_length", "diversity", "literals", "snake")}
+            cols: dict[str, list] = {k: [] for k in ("file_id", "repo_name", "projects", "lang", "kinds", "entropy", "name_length", "diversity", "literals", "snake", "model", "dense")}
             for fid, repo, path, label, text in zip(*(b.column(i).to_pylist() for i in range(5))):
                 lang = language(label, path)
-                m = examine(text or "", models.get(lang, models["*"]))
+                model, prose = lang if lang in models else "*", lang == "markdown"
+                m = examine(text or "", models[model], prose)
                 parts = [x for x in (path or "").replace("\\", "/").lower().split("/") if x]
                 own = (repo or "").strip().strip("/").lower().rsplit("/", 1)[-1] or None
                 inside = {y for x, y in zip(parts[:-2], parts[1:-1]) if x in PROJECT_ROOTS and y != own} if own and lang != "markdown" else ()
-                row = {"file_id": fid, "repo_name": own, "projects": sorted(inside), "lang": lang, "kinds": kinds_of(path, m, lang), **{k: m[k] for k in ("entropy", "name_length", "diversity", "literals", "snake")}}
+                row = {"file_id": fid, "repo_name": own, "projects": sorted(inside), "lang": lang, "kinds": kinds_of(path, m, lang), **{k: m[k] for k in ("entropy", "name_length", "diversity", "literals", "snake")}, "model": model, "dense": not prose and may_be_minified(m)}
                 for k, v in row.items():
                     cols[k].append(v)
             text_list = pa.list_(pa.string())
-            types = [pa.int64(), pa.string(), text_list, pa.string(), text_list, *[pa.float64()] * 5]
+            types = [pa.int64(), pa.string(), text_list, pa.string(), text_list, *[pa.float64()] * 5, pa.string(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols.values(), types)], list(cols))
 
     return run
 
 
+def mangled(seen: DataFrame) -> DataFrame:
+    """seen with minified among the kinds of dense files whose names cost more than hand-written ones of their language.
+
+    The bound is a quantile of the scores of files without a kind that aren't dense; languages with
+    few of them share one.  At most one row per model, so it is joined by broadcast.
+    """
+    written = seen.where(~F.col("dense") & (F.size("kinds") == 0) & (F.col("entropy") > 0))
+    bound = F.percentile_approx("entropy", _WRITTEN, 10_000).alias
+    own = written.groupBy("model").agg(bound("own"), F.count("*").alias("n")).where(F.col("n") >= _LEAST_FILES).select("model", "own")
+    all_ = written.agg(bound("every"), F.count("*").alias("n")).select(F.when(F.col("n") >= _LEAST_FILES, F.col("every")).alias("every"))
+    scored = seen.join(F.broadcast(own), "model", "left").crossJoin(F.broadcast(all_))
+    costly = F.coalesce(F.col("dense") & (F.col("entropy") > F.coalesce("own", "every")), F.lit(False))
+    return scored.withColumn("kinds", F.when(costly, F.array_union("kinds", F.array(F.lit("minified")))).otherwise(F.col("kinds"))).drop("model", "dense", "own", "every")
+
+
 def classify_files(files: DataFrame) -> DataFrame:
     """(file_id, lang, kinds, entropy, name_length, diversity, literals): one row per file_id.
 
@@ -231,7 +282,8 @@ def classify_files(files: DataFrame) -> DataFrame:
     """
     rows = files.where(F.col("file_id").isNotNull()).select(F.col("file_id").cast("long").alias("file_id"), "repo", "path", "code_lang", "content")
     models = name_models(rows)
-    seen = rows.mapInArrow(_examine_rows(models), "file_id long, repo_name string, projects array<string>, lang string, kinds array<string>, entropy double, name_length double, diversity double, literals double, snake double")
+    schema = "file_id long, repo_name string, projects array<string>, lang string, kinds array<string>, entropy double, name_length double, diversity double, literals double, snake double, model string, dense boolean"
+    seen = mangled(cut(rows.mapInArrow(_examine_rows(models), schema)))
     projects = rows.select(F.regexp_extract(F.lower(F.trim("repo")), r"([^/]+)/*$", 1).alias("project")).where("project != ''").distinct()
     flat = seen.select("file_id", "lang", "kinds", "entropy", "name_length", "diversity", "literals", F.explode_outer("projects").alias("project"))
     other = flat.where(F.col("project").isNotNull()).select("file_id", "project").distinct().join(projects, "project", "left_semi").select("file_id").distinct()

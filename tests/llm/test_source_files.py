@@ -59,3 +59,16 @@ def test_mangled_names_cost_more_bits_than_written_ones(files):
     bits = S.name_models(files)["python"]
     score = lambda names: bits[S.bigrams(names)].mean()
     assert score(["load_record", "ledger", "cache"]) < score(["xq7", "zzkw", "Qj"])
+
+
+def test_mangled_names_longer_than_four_signs_are_found_by_what_they_cost(spark):
+    """Minified with names of mean length over 4 and no mark in the path; a dense file of plain words stays unflagged."""
+    words = "load record ledger cache source window render handler margin target index parser buffer column".split()
+    hand = lambda i: "\n".join(f"function {a}{b.title()}({c}, value) {{\n    return {c}.{b}(value)\n}}" for a, b, c in zip(words[i % 7 :], words[i % 5 + 1 :], words[i % 3 + 2 :]))
+    squeezed = ";".join(f"function {a}{b.title()}({c},value){{return {c}.{b}(value)}}" for a, b, c in zip(words, words[1:], words[2:]))
+    garbled = ";".join(f"function q{c}zX({c}vj,k{c}J){{return {c}vj.wQ{c}(k{c}J)}}" for c in "xjqvzkwgyh")
+    assert sum(map(len, S.identifiers(garbled))) > 4 * len(S.identifiers(garbled)) and min(len(squeezed), len(garbled)) >= 250
+    rows = [(i, "o/r", f"src/a{i}.js", "javascript", hand(i)) for i in range(60)] + [(100, "o/r", "web/app.js", None, garbled), (101, "o/r", "web/page.js", None, squeezed)]
+    files = spark.createDataFrame(rows, "file_id long, repo string, path string, code_lang string, content string")
+    got = {r["file_id"]: r["kinds"] for r in S.classify_files(files).collect()}
+    assert got[100] == ["minified"] and got[101] == [] and not any(got[i] for i in range(60))
