@@ -10,26 +10,11 @@ from pathlib import Path
 from headwater.functions.scanner import scan
 from headwater.functions.tokens import tokenizer
 from headwater.functions.markdown import strip_text
-from headwater.operators.predict import LevelPredictor, RemotePredictor
+from headwater.operators.predict import HeuristicPredictor, LevelPredictor, RemotePredictor
 
 SUFFIXES = (".md", ".markdown")
 
 
-class HeuristicPredictor:
-    """The native heuristic's rules for one document."""
-
-    def predict(self, texts: list[str], stripped: str) -> list[int]:
-        import re
-
-        from headwater.operators.predict import TOP_LEVEL
-
-        out = []
-        for i, t in enumerate(texts):
-            number = re.match(r"((?:[0-9]+\.)+[0-9]*)\s", t)
-            out.append(1 if i == 0 or t.strip().lower() in TOP_LEVEL else min(number[1].count(".") + 1, 6) if number else 2)
-        return out
-
-
 def rehead_text(text: str, predictor: LevelPredictor) -> str:
     """The text with predicted levels; texts without headings stay as they are."""
     spans = scan(text)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -54,6 +55,17 @@ class FunctionPredictor:
         return self.function(texts)
 
 
+class HeuristicPredictor:
+    """The native heuristic's rules for one document."""
+
+    def predict(self, texts: list[str], stripped: str) -> list[int]:
+        out = []
+        for i, t in enumerate(texts):
+            number = re.match(r"((?:[0-9]+\.)+[0-9]*)\s", t)
+            out.append(1 if i == 0 or t.strip().lower() in TOP_LEVEL else min(number[1].count(".") + 1, 6) if number else 2)
+        return out
+
+
 @dataclass
 class RemotePredictor:
     """A chat-completions endpoint; HTTP errors raise, nothing is tried again."""

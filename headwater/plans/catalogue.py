@@ -369,11 +369,7 @@ def q5_length_batches(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def b5_rehead_heuristic(spark: SparkSession, d: str) -> DataFrame:
     """Whole documents reheaded by the heuristic through the predictor interface."""
-
-    def make() -> predict.LevelPredictor:
-        return predict.FunctionPredictor(lambda texts: [1 if i == 0 else 2 for i, _ in enumerate(texts)])
-
-    return predict.rehead(table(spark, d, "raw_documents").where(F.col("content").isNotNull()).select("record_id", "content"), make).select("record_id", "reheaded")
+    return predict.rehead(table(spark, d, "raw_documents").where(F.col("content").isNotNull()).select("record_id", "content"), predict.HeuristicPredictor).select("record_id", "reheaded")
 
 
 @query()

@@ -160,3 +160,12 @@ def test_progress_is_observed(spark):
     seen = Observation("seen")
     filters.progress(spark.range(10), seen).where("id > 3").collect()
     assert seen.get == {"rows": 10}
+
+
+def test_whole_documents_are_reheaded_by_all_rules_of_the_heuristic(spark, tmp_path):
+    from headwater.plans import catalogue
+
+    text = "# Tool\n\na\n\n### Installation\n\nb\n\n## 1.2.3 Detail\n\nc\n\n# Other\n"
+    spark.createDataFrame([(1, text), (2, None), (3, "plain")], "record_id long, content string").write.parquet(f"{tmp_path}/raw_documents.parquet")
+    got = {r["record_id"]: r["reheaded"] for r in catalogue.b5_rehead_heuristic(spark, str(tmp_path)).collect()}
+    assert got == {1: "# Tool\n\na\n\n# Installation\n\nb\n\n### 1.2.3 Detail\n\nc\n\n## Other\n", 3: "plain"}
