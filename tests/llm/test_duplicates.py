@@ -161,3 +161,26 @@ def test_bitmap_keeps_what_is_wanted(spark):
     kept = {r[0] for r in rows.mapInArrow(prefilter.only(words_, lambda batches: batches), "id long").collect()}
     assert set(range(0, 3000, 7)) <= kept and len(kept) < 600
     assert prefilter.bitmap(wanted.limit(0), "id", bits=16).sum() == 0
+
+
+def test_close_pairs_are_found_under_any_pattern_of_edits(spark):
+    """Lines in another order, every ninth word replaced, a text against its own repetitions."""
+    rng, rows = random.Random(11), []
+
+    def add(a, b):
+        at = len(rows)
+        rows.extend([("raw", at, "train", "s", " ".join(a)), ("raw", at + 1, "test", "s", " ".join(b))])
+
+    for n, line in ((60, 6), (402, 6), (1998, 6), (420, 7)) * 3:
+        base, _ = edited(rng, n, 0)
+        lines = [base[i : i + line] for i in range(0, n, line)]
+        add(base, [w for x in rng.sample(lines, len(lines)) for w in x])
+    for n in (60, 400, 1200):
+        base, _ = edited(rng, n, 0)
+        add(base, [f"z{i}" if i % 9 == 8 else w for i, w in enumerate(base)])
+    for n, times in ((40, 8), (44, 13), (47, 20)):
+        base, _ = edited(rng, n, 0)
+        add(base, base * times)
+    want = close_pairs([(r[1], r[4]) for r in rows])
+    got = {tuple(r)[1:] for r in overlap.close_pairs(*overlap.cross_split(spark.createDataFrame(rows, "kind string, id long, split string, source string, text string"))).collect()}
+    assert len(want) >= 15 and got == want
