@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,9 +34,29 @@ def derived(spark: SparkSession, d: str) -> DataFrame:
     return corpus.derived(table(spark, d, "raw_documents"))
 
 
-def parsed(spark: SparkSession, d: str) -> DataFrame:
-    """The derived corpus with what the scanner finds in it (found_*), not what it was made of."""
-    df = derived(spark, d).withColumn("spans", M.spans(F.col("content")))
+def whole(spark: SparkSession, d: str) -> DataFrame:
+    """The real texts."""
+    return table(spark, d, "raw_documents").where(F.col("content").isNotNull()).select("record_id", "source", "meta", "content")
+
+
+@dataclass(frozen=True)
+class Corpus:
+    """What the structural queries run on, and how much of a text stays."""
+
+    records: Callable[[SparkSession, str], DataFrame]
+    head: int
+    tail: int
+    most_tokens: int
+    prompt_tokens: int
+
+
+#: The derived one has SQL; queries of the name and _full run on the real one under production parameters.
+DERIVED, WHOLE = Corpus(derived, 16, 16, 100, 1_000_000), Corpus(whole, 128, 128, 7500, 7500)
+
+
+def parsed(spark: SparkSession, d: str, on: Corpus = DERIVED) -> DataFrame:
+    """The corpus with what the scanner finds in it (found_*), not what it was made of."""
+    df = on.records(spark, d).withColumn("spans", M.spans(F.col("content")))
     return df.withColumn("found_titles", M.texts(F.col("spans"))).withColumn("found_levels", M.levels(F.col("spans")))
 
 
@@ -57,13 +79,13 @@ _STRIPPED = f"array_to_string(list_transform(titles, lambda t, i: concat('# ', t
 
 
 @query(f"{_D} select record_id, cast(i as bigint) as pos, levels[i] as level, titles[i] as text from (select *, unnest(range(1, len(levels) + 1)) as i from d)")
-def m1_extract(spark: SparkSession, d: str) -> DataFrame:
-    return parsed(spark, d).select("record_id", F.posexplode("spans").alias("pos", "h")).select("record_id", (F.col("pos") + 1).cast("long").alias("pos"), "h.level", "h.text")
+def m1_extract(spark: SparkSession, d: str, on: Corpus = DERIVED) -> DataFrame:
+    return parsed(spark, d, on).select("record_id", F.posexplode("spans").alias("pos", "h")).select("record_id", (F.col("pos") + 1).cast("long").alias("pos"), "h.level", "h.text")
 
 
 @query(f"{_D} select source, list_max(levels) as max_depth, count(*) as n, cast(sum(len(levels)) as bigint) as headings from d group by all")
-def m1_depth_stats(spark: SparkSession, d: str) -> DataFrame:
-    return parsed(spark, d).groupBy("source", F.array_max("found_levels").alias("max_depth")).agg(F.count("*").alias("n"), F.sum(F.size("spans").cast("long")).alias("headings"))
+def m1_depth_stats(spark: SparkSession, d: str, on: Corpus = DERIVED) -> DataFrame:
+    return parsed(spark, d, on).groupBy("source", F.array_max("found_levels").alias("max_depth")).agg(F.count("*").alias("n"), F.sum(F.size("spans").cast("long")).alias("headings"))
 
 
 @query()
@@ -77,13 +99,13 @@ def m1_commonmark_full(spark: SparkSession, d: str) -> DataFrame:
         f as (select *, sum(cast(line like '```%' as int)) over (partition by record_id order by i rows unbounded preceding) as fences from n)
         select record_id, cast(i - 1 as int) as line_start, cast(i as int) as line_end from f where fences % 2 = 0 and line similar to '#+ .*'"""
 )
-def m2_spans(spark: SparkSession, d: str) -> DataFrame:
-    return parsed(spark, d).select("record_id", F.inline("spans")).select("record_id", "line_start", "line_end")
+def m2_spans(spark: SparkSession, d: str, on: Corpus = DERIVED) -> DataFrame:
+    return parsed(spark, d, on).select("record_id", F.inline("spans")).select("record_id", "line_start", "line_end")
 
 
 @query(f"{_D} select record_id, {_STRIPPED} as stripped from d")
-def m3_strip_piece(spark: SparkSession, d: str) -> DataFrame:
-    return parsed(spark, d).select("record_id", M.strip_document(F.col("content"), F.col("spans"), 16, 16).alias("stripped"))
+def m3_strip_piece(spark: SparkSession, d: str, on: Corpus = DERIVED) -> DataFrame:
+    return parsed(spark, d, on).select("record_id", M.strip_document(F.col("content"), F.col("spans"), on.head, on.tail).alias("stripped"))
 
 
 @query(f"select doc_id, {_sql_shorten('text', 128, 128)} as short from documents where text is not null")
@@ -92,8 +114,8 @@ def m4_truncate_piece(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"{_D} select record_id, cast(len([x for x in string_split(content, chr(10)) if x like '# %']) as bigint) as marks from d")
-def m5_count(spark: SparkSession, d: str) -> DataFrame:
-    return derived(spark, d).select("record_id", M.count_marks(F.col("content")).alias("marks"))
+def m5_count(spark: SparkSession, d: str, on: Corpus = DERIVED) -> DataFrame:
+    return on.records(spark, d).select("record_id", M.count_marks(F.col("content")).alias("marks"))
 
 
 @query(
@@ -103,24 +125,24 @@ def m5_count(spark: SparkSession, d: str) -> DataFrame:
         e as (select *, strpos(substring(part, mark + 1), chr(10)) as off_end from k)
         select record_id, case when len(p) <= 100 then s when mark > 0 and off_end > 0 then substring(part, 1, mark + off_end - 1) else part end as shortened from e"""
 )
-def m6_truncate_doc(spark: SparkSession, d: str) -> DataFrame:
-    stripped = parsed(spark, d).select("record_id", M.strip_document(F.col("content"), F.col("spans"), 16, 16).alias("stripped"))
-    return stripped.select("record_id", tokens.piece_prefix_cut(F.col("stripped"), 100).alias("shortened"))
+def m6_truncate_doc(spark: SparkSession, d: str, on: Corpus = DERIVED) -> DataFrame:
+    stripped = parsed(spark, d, on).select("record_id", M.strip_document(F.col("content"), F.col("spans"), on.head, on.tail).alias("stripped"))
+    return stripped.select("record_id", tokens.piece_prefix_cut(F.col("stripped"), on.most_tokens).alias("shortened"))
 
 
 @query(f"{_D} select record_id, replace(content, chr(10) || '#', chr(10) || '#') as same, true as equal from d")
-def m7_apply_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+def m7_apply_roundtrip(spark: SparkSession, d: str, on: Corpus = DERIVED) -> DataFrame:
     """Levels flattened to one and written back: the text as it was."""
-    df = parsed(spark, d)
+    df = parsed(spark, d, on)
     flat = M.apply_levels(F.col("content"), F.col("spans"), F.transform("found_levels", lambda x: F.lit(1)))
     back = df.withColumn("flat", flat).withColumn("spans", M.spans(F.col("flat"))).withColumn("same", M.apply_levels(F.col("flat"), F.col("spans"), F.col("found_levels")))
     return back.select("record_id", "same", (F.col("same") == F.col("content")).alias("equal"))
 
 
 @query(f"{_D} select record_id, list_transform(levels, lambda x, i: case when i <= 3 then 1 else x end) as aligned from d")
-def m8_align(spark: SparkSession, d: str) -> DataFrame:
+def m8_align(spark: SparkSession, d: str, on: Corpus = DERIVED) -> DataFrame:
     """A prediction of three levels at most: the other headings keep their own."""
-    return parsed(spark, d).select("record_id", M.align_levels(M.headings(F.col("spans")), F.array(F.lit(1), F.lit(1), F.lit(1))).alias("aligned"))
+    return parsed(spark, d, on).select("record_id", M.align_levels(M.headings(F.col("spans")), F.array(F.lit(1), F.lit(1), F.lit(1))).alias("aligned"))
 
 
 @query(f"select record_id, '# ' || meta.title || chr(10) || chr(10) || content as titled from raw_documents where meta.title is not null and content is not null")
@@ -130,13 +152,13 @@ def m9_title(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"{_D}, s as (select record_id, list_sort(list_distinct(levels)) as s from d) select record_id, case when len(s) < 2 then 0 else list_max([s[i + 1] - s[i] for i in range(1, len(s))]) end as gap from s")
-def m10_gap(spark: SparkSession, d: str) -> DataFrame:
-    return parsed(spark, d).select("record_id", M.level_gap(F.col("found_levels")).alias("gap"))
+def m10_gap(spark: SparkSession, d: str, on: Corpus = DERIVED) -> DataFrame:
+    return parsed(spark, d, on).select("record_id", M.level_gap(F.col("found_levels")).alias("gap"))
 
 
 @query(f"{_D} select record_id from d where length(content) between 300 and 150000 and len(levels) between 3 and 120 and len(list_distinct(levels)) >= 2")
-def f1_cheap_filter(spark: SparkSession, d: str) -> DataFrame:
-    df = filters.with_spans(filters.length_filter(derived(spark, d)))
+def f1_cheap_filter(spark: SparkSession, d: str, on: Corpus = DERIVED) -> DataFrame:
+    df = filters.with_spans(filters.length_filter(on.records(spark, d)))
     return df.where(filters.cheap_filters(F.col("content"), M.levels(F.col("spans")))).select("record_id")
 
 
@@ -169,21 +191,21 @@ _EXAMPLE = f"""{_D}, s as (select *, {_STRIPPED} as stripped from d),
     ex as (select record_id, source, meta, stripped, titles[1:marks] as titles, levels[1:marks] as levels from v where marks > 0)"""
 
 
-def _examples(spark: SparkSession, d: str) -> DataFrame:
-    return chat.build_examples(parsed(spark, d).drop("titles", "levels"), head=16, tail=16, most_tokens=1_000_000)
+def _examples(spark: SparkSession, d: str, on: Corpus = DERIVED) -> DataFrame:
+    return chat.build_examples(parsed(spark, d, on).drop("titles", "levels"), head=on.head, tail=on.tail, most_tokens=on.prompt_tokens)
 
 
 @query(f"{_EXAMPLE} select record_id, levels from ex")
-def f7_visible_prefix(spark: SparkSession, d: str) -> DataFrame:
-    return _examples(spark, d).select("record_id", "levels")
+def f7_visible_prefix(spark: SparkSession, d: str, on: Corpus = DERIVED) -> DataFrame:
+    return _examples(spark, d, on).select("record_id", "levels")
 
 
 @query(
     f"""{_EXAMPLE} select record_id, source, cast(len({_sql_pieces('stripped')}) as int) as token_count, cast(len(levels) as int) as heading_count, list_max(levels) as max_depth,
         list_min(levels) as min_depth, coalesce(meta.max_level_gap, 0) as max_level_gap, meta.repo as repo, meta.title as title from ex"""
 )
-def f8_metadata(spark: SparkSession, d: str) -> DataFrame:
-    return _examples(spark, d).select("record_id", *(f"metadata.{c}" for c in ("source", "token_count", "heading_count", "max_depth", "min_depth", "max_level_gap", "repo", "title")))
+def f8_metadata(spark: SparkSession, d: str, on: Corpus = DERIVED) -> DataFrame:
+    return _examples(spark, d, on).select("record_id", *(f"metadata.{c}" for c in ("source", "token_count", "heading_count", "max_depth", "min_depth", "max_level_gap", "repo", "title")))
 
 
 _QUOTA = {"< 4k": 200, "4k-8k": 100, "8k-16k": 50, "16k-32k": 10}
@@ -211,22 +233,22 @@ def q2_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"{_D} select record_id, unnest(range(1, case when list_max(levels) >= 6 then 8 when list_max(levels) >= 5 then 4 when list_max(levels) >= 4 then 2 else 1 end + 1))::int as copy from d")
-def q4_oversample(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.oversample(parsed(spark, d).select("record_id", "found_levels"), "found_levels").select("record_id", "copy")
+def q4_oversample(spark: SparkSession, d: str, on: Corpus = DERIVED) -> DataFrame:
+    return sampling.oversample(parsed(spark, d, on).select("record_id", "found_levels"), "found_levels").select("record_id", "copy")
 
 
 _ANSWER = "array_to_string(list_transform(titles, lambda t, i: concat(repeat('#', levels[i]), ' ', t)), chr(10))"
 
 
 @query(f"{_D} select record_id, {_ANSWER} as answer from d")
-def t1_format(spark: SparkSession, d: str) -> DataFrame:
-    return parsed(spark, d).select("record_id", M.format_answer(F.col("found_titles"), F.col("found_levels")).alias("answer"))
+def t1_format(spark: SparkSession, d: str, on: Corpus = DERIVED) -> DataFrame:
+    return parsed(spark, d, on).select("record_id", M.format_answer(F.col("found_titles"), F.col("found_levels")).alias("answer"))
 
 
 @query(f"{_EXAMPLE} select record_id, 'system,user,assistant' as roles, stripped as prompt, {_ANSWER} as answer from ex")
-def t2_chat(spark: SparkSession, d: str) -> DataFrame:
+def t2_chat(spark: SparkSession, d: str, on: Corpus = DERIVED) -> DataFrame:
     m = F.col("messages")
-    return _examples(spark, d).select("record_id", F.array_join(F.transform(m, lambda x: x["role"]), ",").alias("roles"), F.get(m, F.lit(1))["content"].alias("prompt"), F.get(m, F.lit(2))["content"].alias("answer"))
+    return _examples(spark, d, on).select("record_id", F.array_join(F.transform(m, lambda x: x["role"]), ",").alias("roles"), F.get(m, F.lit(1))["content"].alias("prompt"), F.get(m, F.lit(2))["content"].alias("answer"))
 
 
 @query(
@@ -242,13 +264,13 @@ def t3_parse(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"{_EXAMPLE} select record_id, greatest(40 * len([x for x in string_split(stripped, chr(10)) if x like '# %']), 256) as estimate from ex")
-def t8_token_estimate(spark: SparkSession, d: str) -> DataFrame:
-    return _examples(spark, d).select("record_id", M.token_estimate(F.col("stripped")).alias("estimate"))
+def t8_token_estimate(spark: SparkSession, d: str, on: Corpus = DERIVED) -> DataFrame:
+    return _examples(spark, d, on).select("record_id", M.token_estimate(F.col("stripped")).alias("estimate"))
 
 
 @query(f"{_D} select record_id, [1 for x in levels] as predicted from d")
-def b1_flat(spark: SparkSession, d: str) -> DataFrame:
-    return parsed(spark, d).select("record_id", predict.flat_levels(F.col("found_titles")).alias("predicted"))
+def b1_flat(spark: SparkSession, d: str, on: Corpus = DERIVED) -> DataFrame:
+    return parsed(spark, d, on).select("record_id", predict.flat_levels(F.col("found_titles")).alias("predicted"))
 
 
 _TOP = ", ".join(f"'{x}'" for x in predict.TOP_LEVEL)
@@ -350,8 +372,8 @@ def a9_by_depth(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"{_D}, o as (select source, unnest(levels) as level from d) select source, level, count(*) as n from o group by all")
-def a9_level_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.level_histogram(parsed(spark, d), "found_levels", "source")
+def a9_level_histogram(spark: SparkSession, d: str, on: Corpus = DERIVED) -> DataFrame:
+    return evaluation.level_histogram(parsed(spark, d, on), "found_levels", "source")
 
 
 @query()
@@ -393,6 +415,14 @@ def path_b_end_to_end(spark: SparkSession, d: str) -> DataFrame:
     f"""{_EXAMPLE}, b as (select record_id, levels as t, list_transform(titles, lambda x, i: case when i = 1 then 1 else 2 end) as p from ex)
         select count(*) as n, round(avg(cast(p = t as double)), 9) as exact_match from b"""
 )
-def path_c_evaluate(spark: SparkSession, d: str) -> DataFrame:
-    scored = pipelines.evaluate(_examples(spark, d), predict.heuristic_levels)
+def path_c_evaluate(spark: SparkSession, d: str, on: Corpus = DERIVED) -> DataFrame:
+    scored = pipelines.evaluate(_examples(spark, d, on), predict.heuristic_levels)
     return evaluation.overall(scored).select("n", "exact_match")
+
+
+#: The structural queries on the real texts; SQL can't parse CommonMark, so these have none.
+_STRUCTURAL = (
+    m1_extract, m1_depth_stats, m2_spans, m3_strip_piece, m5_count, m6_truncate_doc, m7_apply_roundtrip, m8_align, m10_gap, f1_cheap_filter, f7_visible_prefix, f8_metadata,
+    q4_oversample, t1_format, t2_chat, t8_token_estimate, b1_flat, a9_level_histogram, path_c_evaluate,
+)
+QUERIES |= {f"{f.__name__}_full": partial(f, on=WHOLE) for f in _STRUCTURAL}

@@ -169,3 +169,17 @@ def test_whole_documents_are_reheaded_by_all_rules_of_the_heuristic(spark, tmp_p
     spark.createDataFrame([(1, text), (2, None), (3, "plain")], "record_id long, content string").write.parquet(f"{tmp_path}/raw_documents.parquet")
     got = {r["record_id"]: r["reheaded"] for r in catalogue.b5_rehead_heuristic(spark, str(tmp_path)).collect()}
     assert got == {1: "# Tool\n\na\n\n# Installation\n\nb\n\n### 1.2.3 Detail\n\nc\n\n## Other\n", 3: "plain"}
+
+
+def test_structural_queries_read_the_real_texts(spark, tmp_path):
+    """Setext, CRLF and nested headings and no stored ones; a section above 256 pieces is shortened."""
+    from headwater.plans import catalogue
+
+    text = "Top\r\n===\r\n\r\n> ### Nested\r\n\r\n" + "word " * 300 + "\r\n\r\n## Last\r\n"
+    schema = "record_id long, content string, source string, headings array<struct<text:string,level:int>>, meta struct<repo:string,title:string,max_level_gap:int>"
+    spark.createDataFrame([(1, text, "s", None, None), (2, None, "s", [("x", 1)], None)], schema).write.parquet(f"{tmp_path}/raw_documents.parquet")
+    run = lambda name: catalogue.QUERIES[name](spark, str(tmp_path)).collect()
+    assert sorted((r["record_id"], r["pos"], r["level"], r["text"]) for r in run("m1_extract_full")) == [(1, 1, 1, "Top"), (1, 2, 3, "Nested"), (1, 3, 2, "Last")]
+    (stripped,) = run("m3_strip_piece_full")
+    assert "[...]" in stripped["stripped"] and stripped["stripped"].count("word") >= 200
+    assert [r["record_id"] for r in run("f1_cheap_filter_full")] == [1]
