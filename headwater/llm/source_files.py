@@ -191,8 +191,8 @@ def by_path(path: str | None) -> list[str]:
 
 
 def examine(text: str, bits: np.ndarray, prose: bool = False) -> dict:
-    """Measures of one file.  Literals, diversity and style are gone through only where cheap counts leave a
-    question: files of short, spaced lines with few digits and no blob are neither dense nor data.
+    """Measures of one file.  Literals are gone through only where cheap counts leave a
+    question: files with few digits and no blob are no data.
     entropy: mean bits of a pair of characters in the distinct names; 0 in prose and with too few names."""
     size, solid, blanks, longest = shape(text)
     raw = text.encode("utf-8", "surrogatepass")
@@ -209,7 +209,7 @@ def examine(text: str, bits: np.ndarray, prose: bool = False) -> dict:
     own = sorted(set(names))
     if len(own) >= _LEAST_NAMES:
         m["entropy"] = float(bits[bigrams(own)].mean())
-    if names and (literal or longest >= 250 or blanks < 0.1):
+    if names:
         m |= {"name_length": sum(map(len, names)) / len(names), "diversity": stem_diversity(names), "snake": style(names)}
     return m
 

@@ -72,3 +72,9 @@ def test_mangled_names_longer_than_four_signs_are_found_by_what_they_cost(spark)
     files = spark.createDataFrame(rows, "file_id long, repo string, path string, code_lang string, content string")
     got = {r["file_id"]: r["kinds"] for r in S.classify_files(files).collect()}
     assert got[100] == ["minified"] and got[101] == [] and not any(got[i] for i in range(60))
+
+
+def test_templates_with_few_digits_are_found():
+    text = "\n".join(f"def get_customer_address_{i}(customer_record_{i}, default_value_{i}):\n    pass\n" for i in range(1, 10))
+    m = S.examine(text, S.np.ones(S._SIDE**2))
+    assert m["diversity"] <= 0.25 and S.kinds_of("src/a.py", m, "python") == ["generated"]
