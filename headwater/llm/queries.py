@@ -11,12 +11,20 @@ from headwater.llm import chunking, encode, leaks, mixing, neardup, overlap, rea
 from headwater.session import table
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.texts_of(table(spark, d, "raw_documents"), table(spark, d, "training_examples"))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.close_pairs(*overlap.cross_split(overlap.texts_of(table(spark, d, "raw_documents"), table(spark, d, "training_examples"))))
+    return overlap.close_pairs(*overlap.cross_split(_texts(spark, d)))
+
+
+def p1_records(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.record_report(*overlap.cross_split(_texts(spark, d))).select("kind", "id", "split", "source", "partners", F.round("jaccard", 6).alias("jaccard"))
 
 
 def p1_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.coverage_report(*overlap.cross_split(overlap.texts_of(table(spark, d, "raw_documents"), table(spark, d, "training_examples"))))
+    return overlap.coverage_report(overlap.record_report(*overlap.cross_split(_texts(spark, d), contained=0.8), contained=0.8))
 
 
 def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -93,7 +101,7 @@ def p10_levels(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_coverage, p2_found, p2_groups, p3_found, p3_assign, p4_budget, p5_found, p5_pieces, p6_found, p6_kinds, p7_found, p7_mix, p7_blocks, p8_ids, p9_found, p10_found, p10_levels)
+    for f in (p1_found, p1_records, p1_coverage, p2_found, p2_groups, p3_found, p3_assign, p4_budget, p5_found, p5_pieces, p6_found, p6_kinds, p7_found, p7_mix, p7_blocks, p8_ids, p9_found, p10_found, p10_levels)
 }
 
 _REPO = r"regexp_replace(regexp_replace(regexp_replace(lower(trim({0})), '^[a-z][a-z0-9+.-]*://[^/]*/+', ''), '^[^/@:\s]+@[^/:\s]+:/*', ''), '(\.git)?/*$', '')"

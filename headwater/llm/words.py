@@ -73,6 +73,16 @@ def winnow(grams: np.ndarray, w: int) -> np.ndarray:
     return np.unique(at)
 
 
+def window_minima(grams: np.ndarray, w: int) -> np.ndarray:
+    """The least of every window of w neighbouring grams (of all, if there are fewer): the values that winnowing chooses."""
+    out, have, w = grams, 1, max(1, min(w, len(grams)))
+    while have < w:
+        step = min(have, w - have)
+        out = np.minimum(out[:-step], out[step:])
+        have += step
+    return out
+
+
 _rng = np.random.default_rng(20240607)
 _MULTIPLIERS = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 

@@ -73,16 +73,16 @@ def test_default_threshold_and_empty_tables(spark):
     classes, links = neardup.near_duplicates(df.limit(0), "id", "t")
     assert classes.count() == 0 and links.count() == 0 and neardup.link_groups(classes, links).count() == 0
     with pytest.raises(ValueError):
-        neardup.near_duplicates(df, "id", "t", blocks=3)
+        neardup.near_duplicates(df, "id", "t", blocks=40)
 
 
 def test_words_that_differ_in_one_symbol_share_an_anchor():
     rng = np.random.default_rng(0)
-    x = rng.integers(0, 2**63, 64, dtype=np.uint64)
+    x = rng.integers(0, 2**63, (1, 64), dtype=np.uint64)
     for at in range(64):
         y = x.copy()
-        y[at] ^= np.uint64(0x5A5A)
-        shared = set(neardup.anchors(x).tolist()) & set(neardup.anchors(y).tolist())
+        y[0, at] ^= np.uint64(0x5A5A)
+        shared = set(neardup.anchors(x).ravel().tolist()) & set(neardup.anchors(y).ravel().tolist())
         assert len(shared) >= 15 * 4 + 1
 
 
@@ -111,7 +111,7 @@ def test_cross_split_is_brute_force(spark, made):
     for kind in ("raw", "example"):
         mine = {p[1:] for p in got if p[0] == kind}
         assert mine <= want and len(want - mine) <= 1
-    report = overlap.coverage_report(members, pairs).collect()
+    report = overlap.coverage_report(overlap.record_report(members, pairs)).collect()
     assert sum(r["overlapping"] for r in report) == 2 * len({i for p in want for i in p if side[i] == "held"}) and all(r["covered_words"] <= r["words"] for r in report)
     members, pairs = overlap.cross_split(texts.limit(0))
     assert overlap.close_pairs(members, pairs).count() == 0
@@ -139,10 +139,40 @@ def test_hot_fingerprints_stay_counted(spark):
         if i % 10 == 0:
             rows.append(("raw", 2 * i + 1, "test", "s", " ".join(own[:57] + phrase)))
     texts = spark.createDataFrame(rows, "kind string, id long, split string, source string, text string")
-    got = {tuple(r)[1:] for r in overlap.close_pairs(*overlap.cross_split(texts, hot_from=8)).collect()}
+    got = {tuple(r)[1:] for r in overlap.close_pairs(*overlap.cross_split(texts, limit=8)).collect()}
     assert got == close_pairs([(r[1], r[4]) for r in rows]) & {(2 * i, 2 * i + 1) for i in range(300)} and len(got) == 30
 
 
+def test_a_contained_record_is_covered(spark):
+    """A record inside longer train texts: coverage is the union over partners, copies count as partners."""
+    rng = random.Random(8)
+    own = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    other = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    long = other(1400) + own + other(1400)
+    half = own[:75] + other(75)
+    rows = [("raw", 1, "test", "s", " ".join(own)), ("raw", 2, "train", "s", " ".join(long)), ("raw", 3, "train", "t", " ".join(long)), ("raw", 4, "train", "s", " ".join(half)), ("raw", 5, "validation", "s", " ".join(other(200)))]
+    texts = spark.createDataFrame(rows, "kind string, id long, split string, source string, text string")
+    report = {r["id"]: r for r in overlap.record_report(*overlap.cross_split(texts, contained=0.8), contained=0.8).collect()}
+    assert set(report) == {1, 5} and (report[1]["partners"], report[1]["covered_words"]) == (2, 150) and (report[5]["partners"], report[5]["jaccard"], report[5]["covered_words"]) == (0, None, 0)
+    assert [r["partners"] for r in overlap.record_report(*overlap.cross_split(texts)).where("id = 1").collect()] == [0]
+
+
+def test_a_crowded_group_of_reworked_copies_is_found_whole(spark):
+    """Every fingerprint of the group is crowded at every level, and no link is lost."""
+    rng = random.Random(21)
+    base, _ = edited(rng, 120, 0)
+    rows = []
+    for i in range(160):
+        text = [w if rng.random() > 0.04 else f"x{rng.randrange(10**6)}" for w in base]
+        rows.append(("raw", i, "train" if i % 2 else "test", "s", " ".join(text)))
+    texts = spark.createDataFrame(rows, "kind string, id long, split string, source string, text string")
+    want = close_pairs([(r[1], r[4]) for r in rows])
+    got = {tuple(r)[1:] for r in overlap.close_pairs(*overlap.cross_split(texts, limit=8)).collect()}
+    assert len(want) > 8000 and got == {p for p in want if (p[0] + p[1]) % 2}
+    got = {tuple(r) for r in neardup.expand_pairs(*neardup.near_duplicates(texts, "id", "text", k=3, similarity=0.5, least_words=30, limit=8)).collect()}
+    assert got <= want and len(want - got) <= len(want) // 1000
+
+
 def test_alignment_covers_what_is_shared():
     a = np.arange(100, 200, dtype=np.uint64)
     b = np.concatenate([np.arange(50, 60), np.arange(100, 140), [7, 8], np.arange(142, 200)]).astype(np.uint64)
