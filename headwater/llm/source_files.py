@@ -50,6 +50,10 @@ _PRIOR = 20
 #: Part of the hand-written files of a language whose names cost less than mangled ones do, names that a
 #: file needs to be scored, and scored files that a language needs for a bound of its own.
 _WRITTEN, _LEAST_NAMES, _LEAST_FILES = 0.95, 8, 50
+#: The same part where names are very short as well, which two signs together decide.
+_USUAL, _SHORT_NAME = 0.75, 4.0
+#: Bits by which the file's own naming style must explain its names better than the style of the rest of its repository.
+_FOREIGN_BITS = 24.0
 
 
 def language(label: str | None, path: str | None) -> str:
@@ -138,10 +142,10 @@ def name_models(files: DataFrame, *, most_languages: int = 64) -> dict[str, np.n
     return out
 
 
-def head_comments(lines: list[str], most: int = 60) -> str:
-    """The comments before the first line of code, one string."""
+def head_comments(lines: list[str]) -> str:
+    """The comments before the first line of code, one string, however many lines they take."""
     out, block = [], False
-    for line in lines[:most]:
+    for line in lines:
         bare = line.strip()
         if block or _COMMENT.match(line):
             out.append(bare)
@@ -175,11 +179,11 @@ def stem_diversity(names: list[str]) -> float:
     return len(set(numbered)) / len(numbered)
 
 
-def style(names: list[str]) -> float:
-    """Share of snake_case among the names of more than one part; -1 without any."""
+def style(names: list[str]) -> tuple[int, int]:
+    """Of the distinct names of more than one part: those in snake_case, and those in camelCase."""
     snake = sum("_" in n.strip("_") for n in names)
     camel = sum("_" not in n and n != n.lower() and n != n.upper() for n in names)
-    return snake / (snake + camel) if snake + camel else -1.0
+    return snake, camel
 
 
 def by_path(path: str | None) -> list[str]:
@@ -193,34 +197,33 @@ def by_path(path: str | None) -> list[str]:
 def examine(text: str, bits: np.ndarray, prose: bool = False) -> dict:
     """Measures of one file.  Literals are gone through only where cheap counts leave a
     question: files with few digits and no blob are no data.
-    entropy: mean bits of a pair of characters in the distinct names; 0 in prose and with too few names."""
+    entropy: mean bits of a pair of characters in the distinct names; 0 in prose and without names."""
     size, solid, blanks, longest = shape(text)
     raw = text.encode("utf-8", "surrogatepass")
     digits = size - len(raw.translate(None, _DIGITS))
     head = head_comments(text.split("\n"))
     m = {
         "marked": bool(head) and _GENERATED_MARK.search(head) is not None, "taken": bool(head) and _VENDORED_MARK.search(head) is not None,
-        "longest_line": longest, "blank_share": blanks, "entropy": 0.0, "name_length": 99.0, "diversity": 1.0, "literals": 0.0, "snake": -1.0,
+        "longest_line": longest, "blank_share": blanks, "entropy": 0.0, "name_length": 99.0, "n_names": 0, "diversity": 1.0, "literals": 0.0, "snake": 0, "camel": 0,
     }
     literal = digits > 0.1 * solid or _BLOB.search(text) is not None
     if literal:
         m["literals"] = literal_share(text, solid)
     names = [] if prose else identifiers(text)
     own = sorted(set(names))
-    if len(own) >= _LEAST_NAMES:
-        m["entropy"] = float(bits[bigrams(own)].mean())
-    if names:
-        m |= {"name_length": sum(map(len, names)) / len(names), "diversity": stem_diversity(names), "snake": style(names)}
+    if own:
+        snake, camel = style(own)
+        m |= {"entropy": float(bits[bigrams(own)].mean()), "name_length": sum(map(len, names)) / len(names), "n_names": len(own), "diversity": stem_diversity(names), "snake": snake, "camel": camel}
     return m
 
 
 def kinds_of(path: str | None, m: dict, lang: str) -> list[str]:
-    """What the path and the measures say, without regard to other projects' names and to what names cost elsewhere."""
+    """What the path and the measures say, without regard to other projects' names and to what names cost and look like elsewhere."""
     said, prose = by_path(path), lang == "markdown"
     out = []
     if m["marked"] or "generated" in said or (not prose and m["diversity"] <= 0.25):
         out.append("generated")
-    if not prose and ("minified" in said or (may_be_minified(m) and m["name_length"] <= 4.0)):
+    if not prose and "minified" in said:
         out.append("minified")
     if "vendored" in said or m["taken"]:
         out.append("vendored")
@@ -234,23 +237,28 @@ def may_be_minified(m: dict) -> bool:
     return is_dense(m["longest_line"], m["blank_share"]) and m["literals"] < 0.5
 
 
+_MEASURES = {"entropy": "double", "name_length": "double", "diversity": "double", "literals": "double", "n_names": "int", "snake": "int", "camel": "int"}
+_SEEN = "file_id long, repo_name string, projects array<string>, lang string, kinds array<string>, " + ", ".join(f"{k} {v}" for k, v in _MEASURES.items()) + ", model string, dense boolean"
+
+
 def _examine_rows(models: dict[str, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text_list = pa.list_(pa.string())
+        types = [pa.int64(), pa.string(), text_list, pa.string(), text_list, *(pa.float64() if v == "double" else pa.int32() for v in _MEASURES.values()), pa.string(), pa.bool_()]
+        names = ["file_id", "repo_name", "projects", "lang", "kinds", *_MEASURES, "model", "dense"]
         for b in batches:
-            cols: dict[str, list] = {k: [] for k in ("file_id", "repo_name", "projects", "lang", "kinds", "entropy", "name_length", "diversity", "literals", "snake", "model", "dense")}
+            cols: list[list] = [[] for _ in names]
             for fid, repo, path, label, text in zip(*(b.column(i).to_pylist() for i in range(5))):
                 lang = language(label, path)
                 model, prose = lang if lang in models else "*", lang == "markdown"
                 m = examine(text or "", models[model], prose)
                 parts = [x for x in (path or "").replace("\\", "/").lower().split("/") if x]
                 own = (repo or "").strip().strip("/").lower().rsplit("/", 1)[-1] or None
-                inside = {y for x, y in zip(parts[:-2], parts[1:-1]) if x in PROJECT_ROOTS and y != own} if own and lang != "markdown" else ()
-                row = {"file_id": fid, "repo_name": own, "projects": sorted(inside), "lang": lang, "kinds": kinds_of(path, m, lang), **{k: m[k] for k in ("entropy", "name_length", "diversity", "literals", "snake")}, "model": model, "dense": not prose and may_be_minified(m)}
-                for k, v in row.items():
-                    cols[k].append(v)
-            text_list = pa.list_(pa.string())
-            types = [pa.int64(), pa.string(), text_list, pa.string(), text_list, *[pa.float64()] * 5, pa.string(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols.values(), types)], list(cols))
+                inside = {y for x, y in zip(parts[:-2], parts[1:-1]) if x in PROJECT_ROOTS and y != own} if own and not prose else ()
+                row = (fid, own, sorted(inside), lang, kinds_of(path, m, lang), *(m[k] for k in _MEASURES), model, not prose and may_be_minified(m))
+                for c, v in zip(cols, row):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
     return run
 
@@ -258,16 +266,34 @@ def _examine_rows(models: dict[str, np.ndarray]):
 def mangled(seen: DataFrame) -> DataFrame:
     """seen with minified among the kinds of dense files whose names cost more than hand-written ones of their language.
 
-    The bound is a quantile of the scores of files without a kind that aren't dense; languages with
-    few of them share one.  At most one row per model, so it is joined by broadcast.
+    The bounds are quantiles of the scores of files without a kind that aren't dense; languages with
+    few of them share one.  A file is minified above the higher bound, and above the lower one if its
+    names are very short as well; a corpus too small for any bound leaves it to the latter.  At most one row per model, so they are joined by broadcast.
     """
-    written = seen.where(~F.col("dense") & (F.size("kinds") == 0) & (F.col("entropy") > 0))
-    bound = F.percentile_approx("entropy", _WRITTEN, 10_000).alias
+    written = seen.where(~F.col("dense") & (F.size("kinds") == 0) & (F.col("n_names") >= _LEAST_NAMES))
+    bound = F.percentile_approx("entropy", [_WRITTEN, _USUAL], 10_000).alias
     own = written.groupBy("model").agg(bound("own"), F.count("*").alias("n")).where(F.col("n") >= _LEAST_FILES).select("model", "own")
     all_ = written.agg(bound("every"), F.count("*").alias("n")).select(F.when(F.col("n") >= _LEAST_FILES, F.col("every")).alias("every"))
-    scored = seen.join(F.broadcast(own), "model", "left").crossJoin(F.broadcast(all_))
-    costly = F.coalesce(F.col("dense") & (F.col("entropy") > F.coalesce("own", "every")), F.lit(False))
-    return scored.withColumn("kinds", F.when(costly, F.array_union("kinds", F.array(F.lit("minified")))).otherwise(F.col("kinds"))).drop("model", "dense", "own", "every")
+    scored = seen.join(F.broadcast(own), "model", "left").crossJoin(F.broadcast(all_)).withColumn("own", F.coalesce("own", "every"))
+    costly = F.coalesce(F.col("entropy") > F.get("own", F.lit(0)), F.lit(False)) | ((F.col("name_length") <= _SHORT_NAME) & F.coalesce(F.col("entropy") > F.get("own", F.lit(1)), F.lit(True)))
+    return scored.withColumn("kinds", F.when(F.coalesce(F.col("dense") & costly, F.lit(False)), F.array_union("kinds", F.array(F.lit("minified")))).otherwise(F.col("kinds"))).drop("model", "dense", "own", "every")
+
+
+def foreign_style(seen: DataFrame) -> DataFrame:
+    """seen with vendored among the kinds of files whose names are in a style foreign to their repository.
+
+    Per repository and language the shares of snake_case and camelCase of the other files without a kind
+    are compared with the file's own: bits that the file's own shares save over theirs.  Repositories
+    are aggregated before they are joined; a repository of one such file, or none, has no style.
+    """
+    plain = F.size("kinds") == 0
+    styles = seen.where(plain & F.col("repo_name").isNotNull()).groupBy("repo_name", "lang").agg(F.sum("snake").alias("all_snake"), F.sum("camel").alias("all_camel"), F.count("*").alias("files"))
+    at = seen.join(styles, ["repo_name", "lang"], "left")
+    less = lambda c: F.col(f"all_{c}") - F.when(plain, F.col(c)).otherwise(F.lit(0)) + 0.5
+    rest, own = less("snake") + less("camel"), F.col("snake") + F.col("camel")
+    bits = lambda c: F.when(F.col(c) > 0, F.col(c) * (F.log2(F.col(c) / own) - F.log2(less(c) / rest))).otherwise(F.lit(0.0))
+    foreign = F.coalesce((F.col("files") >= 2) & (own > 0) & (F.col("lang") != "markdown") & (bits("snake") + bits("camel") >= _FOREIGN_BITS) & plain, F.lit(False))
+    return at.withColumn("kinds", F.when(foreign, F.array(F.lit("vendored"))).otherwise(F.col("kinds"))).drop("all_snake", "all_camel", "files")
 
 
 def classify_files(files: DataFrame) -> DataFrame:
@@ -275,15 +301,15 @@ def classify_files(files: DataFrame) -> DataFrame:
 
     kinds: of generated, minified, vendored, data; empty for hand-written files.  A file is vendored
     if it lies in a folder for foreign code, or in a folder of a source root that is named after
-    another repository of the corpus than its own.  Deliveries of one file_id are one file: what any
+    another repository of the corpus than its own, or if its names are in a style foreign to the rest
+    of its repository.  Deliveries of one file_id are one file: what any
     of them shows counts.  Null contents leave path and repo to decide, a null path the content;
     without a repo no folder is foreign.  Rows with a null file_id are left out; extra columns are
     ignored; an empty table gives an empty result.
     """
     rows = files.where(F.col("file_id").isNotNull()).select(F.col("file_id").cast("long").alias("file_id"), "repo", "path", "code_lang", "content")
     models = name_models(rows)
-    schema = "file_id long, repo_name string, projects array<string>, lang string, kinds array<string>, entropy double, name_length double, diversity double, literals double, snake double, model string, dense boolean"
-    seen = mangled(cut(rows.mapInArrow(_examine_rows(models), schema)))
+    seen = foreign_style(mangled(cut(rows.mapInArrow(_examine_rows(models), _SEEN))))
     projects = rows.select(F.regexp_extract(F.lower(F.trim("repo")), r"([^/]+)/*$", 1).alias("project")).where("project != ''").distinct()
     flat = seen.select("file_id", "lang", "kinds", "entropy", "name_length", "diversity", "literals", F.explode_outer("projects").alias("project"))
     other = flat.where(F.col("project").isNotNull()).select("file_id", "project").distinct().join(projects, "project", "left_semi").select("file_id").distinct()

@@ -78,3 +78,26 @@ def test_templates_with_few_digits_are_found():
     text = "\n".join(f"def get_customer_address_{i}(customer_record_{i}, default_value_{i}):\n    pass\n" for i in range(1, 10))
     m = S.examine(text, S.np.ones(S._SIDE**2))
     assert m["diversity"] <= 0.25 and S.kinds_of("src/a.py", m, "python") == ["generated"]
+
+
+def test_a_mark_below_a_long_licence_is_found():
+    text = "\n".join(["# licence text"] * 80 + ["# Code generated by protoloom. DO NOT EDIT."]) + "\n" + HAND
+    m = S.examine(text, S.np.ones(S._SIDE**2))
+    assert m["marked"] and S.kinds_of("src/a.py", m, "python") == ["generated"]
+
+
+def test_each_model_decides(spark, monkeypatch):
+    """Mangled names, template-like names and a foreign naming style are each found by their measure alone."""
+    words = "load record ledger cache source window render handler margin target index parser buffer column".split()
+    hand = lambda i: "\n".join(f"function {a}{b.title()}({c}{a.title()}) {{\n    return {c}{a.title()}.{b}Value(1)\n}}" for a, b, c in zip(words[i % 7 :], words[i % 5 + 1 :], words[i % 3 + 2 :]))
+    garbled = ";".join(f"function q{c}zX({c}vj,k{c}J){{return {c}vj.wQ{c}(k{c}J)}}" for c in "xjqvzkwgyh")
+    snake = "\n".join(f"function {a}_{b}({c}_{a}) {{\n    return {c}_{a}.{b}_value(1)\n}}" for a, b, c in zip(words, words[1:], words[2:]))
+    template = "\n".join(f"function getCustomerField{i}(customerRecord{i}) {{\n    return customerRecord{i}\n}}" for i in range(30))
+    rows = [(i, "o/r", f"src/a{i}.js", "javascript", hand(i)) for i in range(60)] + [(100, "o/r", "web/a.js", None, garbled), (101, "o/r", "web/b.js", None, snake), (102, "o/r", "web/c.js", None, template)]
+    files = spark.createDataFrame(rows, "file_id long, repo string, path string, code_lang string, content string")
+    got = {r["file_id"]: r["kinds"] for r in S.classify_files(files).collect() if r["kinds"]}
+    assert got == {100: ["minified"], 101: ["vendored"], 102: ["generated"]}
+    monkeypatch.setattr(S, "_FOREIGN_BITS", 1e9)
+    assert {r["file_id"] for r in S.classify_files(files).where("size(kinds) > 0").collect()} == {100, 102}
+    monkeypatch.setattr(S, "_WRITTEN", 1.0), monkeypatch.setattr(S, "name_models", lambda rows: {"*": S.np.zeros(S._SIDE**2)})
+    assert {r["file_id"] for r in S.classify_files(files).where("size(kinds) > 0").collect()} == {102}
