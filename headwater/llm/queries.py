@@ -87,6 +87,13 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_passages(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
 
 
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per item: the documents it leaked into, and in how many of them most of its question and answer stand beside it."""
+    hits = leaks.leaked_passages(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"))
+    most = lambda c: F.coalesce(F.sum((F.col(c) >= 0.8).cast("long")), F.lit(0)).alias(f"with_{c}")
+    return hits.groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.max("words").alias("most_words"), most("question"), most("answer"))
+
+
 def _levels(spark: SparkSession, d: str) -> DataFrame:
     return reading.reading_levels(table(spark, d, "documents"), "doc_id", "text", reading.train(table(spark, d, "reading_samples")))
 
@@ -101,7 +108,7 @@ def p10_levels(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_records, p1_coverage, p2_found, p2_groups, p3_found, p3_assign, p4_budget, p5_found, p5_pieces, p6_found, p6_kinds, p7_found, p7_mix, p7_blocks, p8_ids, p9_found, p10_found, p10_levels)
+    for f in (p1_found, p1_records, p1_coverage, p2_found, p2_groups, p3_found, p3_assign, p4_budget, p5_found, p5_pieces, p6_found, p6_kinds, p7_found, p7_mix, p7_blocks, p8_ids, p9_found, p9_report, p10_found, p10_levels)
 }
 
 _REPO = r"regexp_replace(regexp_replace(regexp_replace(lower(trim({0})), '^[a-z][a-z0-9+.-]*://[^/]*/+', ''), '^[^/@:\s]+@[^/:\s]+:/*', ''), '(\.git)?/*$', '')"

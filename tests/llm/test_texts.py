@@ -150,8 +150,21 @@ def test_leaks(spark):
     got = {(r["doc_id"], r["item_id"]) for r in leaks.leaked_passages(df, "doc_id", "text", inventory).collect()}
     assert got == want
     assert leaks.leaked_passages(df.limit(0), "doc_id", "text", inventory).count() == 0 == leaks.leaked_passages(df, "doc_id", "text", inventory.limit(0)).count()
-    with pytest.raises(ValueError):
-        leaks.leaked_passages(df, "doc_id", "text", inventory, most_passages=5)
+    # More items than a block holds are searched block by block.
+    assert {(r["doc_id"], r["item_id"]) for r in leaks.leaked_passages(df, "doc_id", "text", inventory, most_passages=12).collect()} == want
+
+
+def test_leaks_of_a_sentence_that_half_of_all_items_hold(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdeiop") for _ in range(7))
+    stock = [word() for _ in range(24)]
+    rows = [(i, " ".join([word() for _ in range(30)] + (stock if i % 2 else []) + [word() for _ in range(30)]), "where is " + word(), word()) for i in range(240)]
+    inventory = spark.createDataFrame(rows, "item_id long, passage string, instruction string, answer string")
+    changed = [*stock[:1], word(), stock[2], word(), *stock[4:]]
+    docs = [(1, " ".join([word() for _ in range(50)] + stock + [word() for _ in range(50)])), (2, " ".join([word() for _ in range(50)] + changed + [word() for _ in range(50)])), (3, " ".join([rows[7][2], *stock, rows[7][3]]))]
+    got = leaks.leaked_passages(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", inventory).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(d, i) for d in (1, 2, 3) for i in range(1, 240, 2)}
+    assert {r["item_id"]: (r["question"], r["answer"]) for r in got if r["doc_id"] == 3}[7] == (1.0, 1.0) and all((r["answer"], r["words"]) == (0.0, 24) for r in got if r["doc_id"] == 1)
 
 
 def test_wand_is_exhaustive_scoring():
@@ -164,7 +177,7 @@ def test_wand_is_exhaustive_scoring():
         terms = [int(t) for t in np.unique(index.lookup(leaks.W.ngram_hashes(rng.integers(0, 60, 12).astype(np.uint64), 1))) if t >= 0]
         score = {}
         for t in terms:
-            for i, x in zip(*index.postings[t][:2]):
+            for i, x in zip(*index.postings(t)[:2]):
                 score[i] = score.get(i, 0) + x
         for threshold in (0.5, 1.5, 3.0):
             assert sorted(index.above(terms, threshold)) == sorted(i for i, x in score.items() if x >= threshold - 1e-12)
