@@ -246,5 +246,8 @@ def test_levels(spark, rows_of):
     assert got[1]["level"] == "high" and got[2]["level"] == "low" and got[6]["lang"] == "de" and got[6]["level"] is None
     assert all(got[i]["level"] is None and got[i]["sentences"] == 0 for i in (3, 4, 5)) and out.count() == 7
     assert {r[0] for r in reading.demanding(out).collect()} == {1}
+    # Without the model nothing is found: the measures alone don't decide.
+    blank = reading.LevelModel(model.weights * 0)
+    assert reading.demanding(reading.reading_levels(df, "doc_id", "text", blank)).count() == 0
     assert reading.reading_levels(df.limit(0), "doc_id", "text", model).count() == 0
     assert reading.fit([]).weights.sum() == 0
