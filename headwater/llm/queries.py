@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwater.llm import chunking, encode, leaks, mixing, neardup, overlap, reading, source_files, splits, token_budget
+from headwater.llm import bpe, chunking, encode, leaks, mixing, neardup, overlap, reading, source_files, splits, token_budget
 from headwater.session import table
 
 
@@ -76,7 +76,7 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mixed_blocks(table(spark, d, "training_examples"), table(spark, d, "mix_targets"))
+    return mixing.mixed_blocks(table(spark, d, "training_examples"), table(spark, d, "mix_targets"), vocabulary=bpe.vocabulary_path())
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -108,7 +108,7 @@ def test_mix_reaches_its_shares(spark, small):
     for r in rows:
         assert r["short"] == (r["max_repeats"] * r["supply"] < r["target_share"] * r["total"])
         if not r["short"] and r["max_repeats"] * r["supply"] > 1.2 * r["target_share"] * r["total"]:
-            assert abs(r["chars"] / r["total"] - r["target_share"]) < 0.04
+            assert abs(r["size"] / r["total"] - r["target_share"]) < 0.04
     short = {r[0] for r in queries.p7_found(spark, "/root/testdata/sf0.01").collect()}
     assert short == {r["source"] for r in rows if r["short"]}
 
@@ -119,22 +119,51 @@ def test_mix_of_dirty_rows(spark):
     targets = spark.createDataFrame([("github", 0.9, 1), ("wiki", 0.1, 2), ("none", None, None)], TARGET)
     got = {r["source"]: r for r in mixing.mix_report(df, targets, block=10, per_shard=4).collect()}
     assert got["github"]["supply"] == 80 and got["github"]["total"] == 140 and got["github"]["short"] and got["wiki"]["short"] and not got["none"]["short"]
-    assert got["github"]["most_repeats"] == 1 and got["github"]["chars"] == 80
-    assert mixing.mix_report(df.limit(0), targets).where("chars > 0").count() == 0 and mixing.short_sources(df, targets.limit(0)).count() == 0
+    assert got["github"]["most_repeats"] == 1 and got["github"]["size"] == 80
+    assert mixing.mix_report(df.limit(0), targets).where("size > 0").count() == 0 and mixing.short_sources(df, targets.limit(0)).count() == 0
 
 
 def test_blocks_cover_every_text_once(spark):
     sizes = spark.createDataFrame([(i, "s" if i % 3 else "t", (i * 37) % 50) for i in range(60)], "example_id long, source string, size long")
     got = mixing.blocks(sizes, 16).collect()
     for i, _, n in [(i, 0, (i * 37) % 50) for i in range(60)]:
-        mine = sorted((r["first_char"], r["last_char"]) for r in got if r["example_id"] == i)
+        mine = sorted((r["first_at"], r["last_at"]) for r in got if r["example_id"] == i)
         assert sum(b - a for a, b in mine) == n and all(a[1] == b[0] for a, b in zip(mine, mine[1:]))
     full = {}
     for r in got:
-        full[r["source"], r["block_no"]] = full.get((r["source"], r["block_no"]), 0) + r["last_char"] - r["first_char"]
+        full[r["source"], r["block_no"]] = full.get((r["source"], r["block_no"]), 0) + r["last_at"] - r["first_at"]
     assert all(v == 16 for (s, n), v in full.items() if n < max(m for t, m in full if t == s))
 
 
+def test_short_sources_come_from_the_draws(spark, monkeypatch):
+    """Where no draw runs out of blocks, no source is short; slots that are lacking stay empty."""
+    rows = [(i, "train", [("user", "abcd" * 50)], ("a" if i < 10 else "b",)) for i in range(200)]
+    df = spark.createDataFrame(rows, EXAMPLE)
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 1)], TARGET)
+    got = {r["source"]: r for r in mixing.mix_report(df, targets, block=100, per_shard=7).collect()}
+    assert got["a"]["short"] and got["a"]["empty"] > 100 and got["a"]["slots"] == 40 and not got["b"]["short"] and got["b"]["empty"] == 0
+    assert sum(r["slots"] + r["empty"] for r in got.values()) == 400
+    draws = mixing.draw_slots
+    monkeypatch.setattr(mixing, "draw_slots", lambda *a: draws(*a).where("false"))
+    assert mixing.mix_report(df, targets, block=100, per_shard=7).where("short").count() == 0
+
+
+def test_blocks_of_tokens(spark):
+    from headwater.llm import bpe
+
+    rows = [(i, "train", [("user", "the cat sat on the mat. " * (i + 1)), ("user", None), ("system", "not counted")], ("a",)) for i in range(20)] + [(99, "train", None, ("a",))]
+    df = spark.createDataFrame(rows, EXAMPLE)
+    targets = spark.createDataFrame([("a", 1.0, 1)], TARGET)
+    path = bpe.vocabulary_path()
+    want = {r[0]: bpe.counter(path).count(r[2][0][1]) for r in rows[:-1]}
+    assert {r["example_id"]: r["size"] for r in mixing.train_sizes(df, targets, path).collect()} == want | {99: 0}
+    got = mixing.mixed_blocks(df, targets, block=64, per_shard=4, vocabulary=path).collect()
+    taken = {}
+    for r in got:
+        taken[r["example_id"]] = taken.get(r["example_id"], 0) + r["last_at"] - r["first_at"]
+    assert taken == want
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 100, 1025])
 def test_permutation(n):
     x = mixing.permute(np.arange(n), np.full(n, n), np.full(n, 99, np.uint64))
