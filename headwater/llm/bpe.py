@@ -105,7 +105,7 @@ def counter(path: str) -> TokenCounter:
 class Encoder:
     """Ids of a text; long runs that the pattern doesn't split are encoded in halves and joined."""
 
-    def __init__(self, path: str, long_run: int = 1024) -> None:
+    def __init__(self, path: str, long_run: int = 64) -> None:
         import tiktoken
 
         self.rank = ranks(path)
@@ -149,7 +149,7 @@ class Encoder:
 
     def piece(self, data: bytes) -> list[int]:
         """Ids of one unsplit piece by tree concatenation of its halves."""
-        if len(data) <= 64:
+        if len(data) <= 32:
             return self._bytes(data)
         middle = len(data) // 2
         return self.join(self.piece(data[:middle]), self.piece(data[middle:]))
@@ -160,13 +160,22 @@ class Encoder:
             return []
         if not self.long.search(text):
             return self.core.encode_ordinary(text)
+        # What lies between long pieces is encoded at once: it begins and ends where a piece does, and
+        # white space at its end stands alone, as the pattern looks at what follows it.
         out: list[int] = []
+        start = before = 0
         for m in SPLIT.finditer(text):
-            data = m.group().encode("utf-8", "surrogatepass")
-            out += self.piece(data) if len(data) >= self.long_run else self._bytes(data)
-        return out
+            at = m.start()
+            if m.end() - at >= self.long_run:
+                last = before if text[before:at].isspace() else at
+                for part in (text[start:last], text[last:at]):
+                    out += self.core.encode_ordinary(part)
+                out += self.piece(m.group().encode("utf-8", "surrogatepass"))
+                start = m.end()
+            before = at if at >= start else start
+        return out + self.core.encode_ordinary(text[start:])
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, long_run: int = 1024) -> Encoder:
+def encoder(path: str, long_run: int = 64) -> Encoder:
     return Encoder(path, long_run)

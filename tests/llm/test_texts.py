@@ -43,14 +43,35 @@ def test_leaves_join_to_the_whole(real, texts):
     for size in (40, 97, 500):
         for t in texts:
             parts = encode.leaves(t, size)
-            assert "".join(p for p, _ in parts) == t
-            assert encode.join_leaves([(i, inside, e.encode(p)) for i, (p, inside) in enumerate(parts)], e) == real(t), (size, t[:60])
+            assert "".join(p[0] for p in parts) == t
+            assert encode.join_leaves([(i, inside, encode.encode_leaf(p, cut, e)) for i, (p, cut, inside) in enumerate(parts)], e) == real(t), (size, t[:60])
+
+
+def test_a_joint_never_leaves_its_piece(real):
+    """Beside a cut piece stand signs that would merge with its ends if the pattern didn't part them."""
+    e = bpe.encoder(VOCABULARY)
+    for t in ("x" * 9 + "ab" * 400 + "1" * 9, "12 " + "the" * 300 + "'s 1", "(((" + "aa" * 200 + ")))", "\n" * 90 + "word" * 90 + "\n" * 90):
+        for size in (8, 33, 64):
+            assert encode.encode_text(t, e, size) == real(t)
+            parts = encode.leaves(t, size)
+            assert all(len(bpe.SPLIT.findall(p)) == 1 for p, cut, _ in parts if cut)
+
+
+def test_given_texts_take_the_leaves(rows_of, monkeypatch):
+    """Texts of the given table are cut and joined: without the join their ids would be others."""
+    e = bpe.encoder(VOCABULARY)
+    long = [r["text"] for r in rows_of("documents", "/root/testdata/sf0.01") if r["text"] and (len(r["text"]) > 6144 or e.long.search(r["text"]))]
+    assert sum(len(t) > 6144 for t in long) > 5
+    want = [encode.encode_text(t, e, 4096) for t in long]
+    assert want == [e.core.encode_ordinary(t) for t in long]
+    monkeypatch.setattr(e, "join", lambda left, right: left + right)
+    assert want != [encode.encode_text(t, e, 4096) for t in long]
 
 
 def test_encode_corpus(spark, real):
     rows = list(enumerate([*ODD, None, "word " * 400, "word " * 400]))
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit("clash")).withColumn("leaf", F.lit(1))
-    got = {r["doc_id"]: r["ids"] for r in encode.encode_corpus(df, "doc_id", "text", leaf_chars=200, long_run=64).collect()}
+    got = {r["doc_id"]: r["ids"] for r in encode.encode_corpus(df, "doc_id", "text", task_chars=200, leaf_chars=50, long_run=64).collect()}
     assert got == {i: real(t) if t else [] for i, t in rows}
     assert encode.encode_corpus(df.limit(0), "doc_id", "text").count() == 0
 
