@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from headwater.llm import bpe
 from headwater.llm.labels import canonical, domain_name, language_label, language_label_column, language_of
+from headwater.session import cut
 
 
 def _count_rows(path: str):
@@ -38,7 +39,8 @@ def count_tokens(df: DataFrame, text_col: str, lang_col: str, *, vocabulary: str
 def fill_sources(counted: DataFrame, proper: DataFrame) -> DataFrame:
     """source: the proper name of the label; where that is missing, the one that most rows of the same domain have."""
     names = proper.select(canonical(F.col("source")).alias("key"), F.col("source").alias("name")).where(F.col("key").isNotNull()).dropDuplicates(["key"])
-    sized = counted.groupBy("corpus", "key", "lang", "domain").agg(F.count("*").alias("texts"), F.sum("tokens").alias("tokens"))
+    # A row per cell: used twice below, so that texts aren't tokenized twice.
+    sized = cut(counted.groupBy("corpus", "key", "lang", "domain").agg(F.count("*").alias("texts"), F.sum("tokens").alias("tokens")))
     sized = sized.join(names, "key", "left").withColumn("name", F.coalesce("name", "key"))
     best = Window.partitionBy("domain").orderBy(F.desc("texts"), "usual")
     usual = (
