@@ -50,7 +50,7 @@ def _forest(kind: pa.DataType):
     return run
 
 
-def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b); root is the least node of the component.
 
     Each task first reduces its own edges to a forest.  Then, round by round, every edge goes to the
@@ -69,12 +69,10 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame
     now = edges.select("a", "b").where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
     now = cut(now.mapInArrow(merge, schema).distinct())
     mark = None
-    for _ in range(max_rounds):
+    while True:
         last, mark = mark, tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if mark == last or mark[0] == 0:
             break
         to_both = now.select("a", "b", F.explode(F.array("a", "b")).alias("at"))
         now = cut(to_both.repartition("at").select("a", "b").mapInArrow(merge, schema).distinct())
-    else:
-        raise RuntimeError(f"components not settled after {max_rounds} rounds")
     return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select(F.col("a").alias("node"), F.col("a").alias("root"))).distinct()

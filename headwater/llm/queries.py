@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from headwater.llm import bpe, chunking, encode, leaks, mixing, neardup, overlap, reading, source_files, splits, token_budget
@@ -59,6 +59,17 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return chunking.split_oversized(table(spark, d, "raw_documents"), "record_id", "content").withColumnRenamed("id", "record_id")
 
 
+def p5_check(spark: SparkSession, d: str) -> DataFrame:
+    """Per text: its length, the characters that its pieces add one after another, and pieces that are too long or overlap too much or not at all."""
+    pieces = chunking.split_oversized(table(spark, d, "raw_documents"), "record_id", "content")
+    before = F.lag("end_at").over(Window.partitionBy("id").orderBy("piece_no"))
+    pieces = pieces.select("id", "begin_at", "end_at", F.length("piece").alias("n"), before.alias("before"))
+    wrong = (F.col("n") != F.col("end_at") - F.col("begin_at")) | (F.col("n") > 6000) | (F.col("begin_at") > F.col("before")) | (F.col("before") - F.col("begin_at") > 200) | (F.col("before") >= F.col("end_at"))
+    return pieces.groupBy(F.col("id").alias("record_id")).agg(
+        F.max("end_at").alias("chars"), F.sum(F.col("end_at") - F.greatest("begin_at", F.coalesce("before", F.lit(0)))).alias("covered"), F.sum(F.coalesce(wrong, F.lit(False)).cast("long")).alias("wrong")
+    )
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return source_files.classify_files(table(spark, d, "repo_files")).where(F.size("kinds") > 0).select("file_id")
 
@@ -108,7 +119,7 @@ def p10_levels(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_records, p1_coverage, p2_found, p2_groups, p3_found, p3_assign, p4_budget, p5_found, p5_pieces, p6_found, p6_kinds, p7_found, p7_mix, p7_blocks, p8_ids, p9_found, p9_report, p10_found, p10_levels)
+    for f in (p1_found, p1_records, p1_coverage, p2_found, p2_groups, p3_found, p3_assign, p4_budget, p5_found, p5_pieces, p5_check, p6_found, p6_kinds, p7_found, p7_mix, p7_blocks, p8_ids, p9_found, p9_report, p10_found, p10_levels)
 }
 
 _REPO = r"regexp_replace(regexp_replace(regexp_replace(lower(trim({0})), '^[a-z][a-z0-9+.-]*://[^/]*/+', ''), '^[^/@:\s]+@[^/:\s]+:/*', ''), '(\.git)?/*$', '')"
@@ -129,6 +140,13 @@ ORACLE: dict[str, str] = {
         with texts as (select 'raw' as kind, record_id as id, split, content as text from raw_documents union all
             select 'example', example_id, split, array_to_string([coalesce(m.content, '') for m in messages if lower(trim(m.role)) = 'user'], chr(10)) from training_examples),"""
     + _CLOSE.replace("{and}", _ACROSS).replace("{columns}", "kind, id_a, id_b"),
+    "p1_records": """
+        with texts as (select 'raw' as kind, record_id as id, split, content as text, source as s from raw_documents union all
+            select 'example', example_id, split, array_to_string([coalesce(m.content, '') for m in messages if lower(trim(m.role)) = 'user'], chr(10)), metadata.source from training_examples),"""
+    + _CLOSE.replace("{and}", _ACROSS).replace("select {columns} from met", """, pairs as (select kind, id_a, id_b, shared / (n_a + n_b - shared) as j from met""")
+    + """), sides as (select kind, id_a as id, j from pairs union all select kind, id_b, j from pairs)
+        select r.kind, r.id, r.split, nullif(regexp_replace(lower(any_value(t.s)), '[^\\p{L}\\p{N}]+', '', 'g'), '') as source, count(s.id) as partners, round(max(s.j), 6) as jaccard
+        from runs r join texts t on t.kind = r.kind and t.id = r.id left join sides s on s.kind = r.kind and s.id = r.id where r.split in ('validation', 'test') group by r.kind, r.id, r.split""",
     "p2_found": "with texts as (select 'raw' as kind, record_id as id, split, content as text from raw_documents)," + _CLOSE.replace("{and}", "").replace("{columns}", "id_a, id_b"),
     "p2_groups": "with recursive texts as (select 'raw' as kind, record_id as id, split, content as text from raw_documents),"
     + _CLOSE.replace("{and}", "").replace("select {columns} from met", ", pairs as (select id_a, id_b, shared = n_a + n_b - shared as same from met")
@@ -153,6 +171,7 @@ ORACLE: dict[str, str] = {
         select record_id, case when list_max([length(l) for l in string_split(content, chr(10))]) > 6000 then 'inside' else 'line' end as cut
         from raw_documents where length(content) > 6000
     """,
+    "p5_check": "select record_id, length(content) as chars, length(content) as covered, 0::bigint as wrong from raw_documents where length(content) > 6000",
     "p7_found": """
         with sized as (
             select regexp_replace(lower(metadata.source), '[^a-z0-9]', '', 'g') as key,

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
 from urllib.parse import unquote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from headwater.llm.components import connected_components
+from headwater.session import cut
 
 _URL = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/@]*@)?[^/]*/+")
 _SCP = re.compile(r"^[^/@:\s]+@[^/:\s]+:/*")
@@ -67,7 +69,8 @@ def _alias_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def record_keys(records: DataFrame) -> DataFrame:
     """(record_id, split, repo, title, node): the keys of each record in one spelling; node is null if it has none."""
     flat = records.select(F.col("record_id").cast("long").alias("record_id"), F.trim(F.lower("split")).alias("split"), F.col("meta.repo").alias("repo"), F.col("meta.title").alias("title"))
-    return flat.mapInArrow(_keys, "record_id long, split string, repo string, title string").withColumn("node", F.coalesce("repo", "title"))
+    # A narrow table that every step below reads: keys are made once.
+    return cut(flat.mapInArrow(_keys, "record_id long, split string, repo string, title string").withColumn("node", F.coalesce("repo", "title")))
 
 
 def key_groups(keyed: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -112,43 +115,70 @@ def greedy_fill(sizes: list[tuple[str, int]], targets: dict[str, float], filled:
     return out
 
 
-def assign_splits(records: DataFrame, aliases: DataFrame, shares: DataFrame, *, bins: int = 4096) -> DataFrame:
+def fill_equal(n: int, count: int, targets: dict[str, float], filled: dict[str, int], total: int) -> dict[str, int]:
+    """How many of ``count`` groups of n records each split gets when they are placed as in greedy_fill.  Changes filled.
+
+    The picks are the greatest of the distances to the target that each split still has after 0, 1, 2 ...
+    groups; all above a level found by halving are taken at once, the few left one by one.
+    """
+    names = sorted(targets)
+    gap = {s: targets[s] * total - filled[s] for s in names}
+    above = lambda level: {s: max(0, math.ceil((gap[s] - level) / n)) for s in names}
+    high, low = max(gap.values()), min(gap.values()) - float(n) * count
+    got = dict.fromkeys(names, 0)
+    for _ in range(200):
+        middle = (low + high) / 2
+        now = above(middle)
+        if sum(now.values()) <= count:
+            high, got = middle, now
+        else:
+            low = middle
+        if high - low < n / 2:
+            break
+    for _ in range(count - sum(got.values())):
+        got[max(names, key=lambda s: gap[s] - n * got[s])] += 1
+    for s in names:
+        filled[s] += n * got[s]
+    return got
+
+
+def assign_splits(records: DataFrame, aliases: DataFrame, shares: DataFrame) -> DataFrame:
     """(record_id, group_key, split, new_split): every record in a split, all records of a group in one.
 
-    Groups of at least ``total / bins`` records (so at most ``bins``) are placed one by one, largest
-    first, each to the split furthest below its target.  All smaller groups, and the records without
-    a group, each of which counts as one, fall into ``bins`` bins by a hash of their key, and the bins
-    are placed in the same way: what reaches the driver is bounded by twice ``bins`` rows at any size.
-    Shares are scaled to sum to one; an empty table of shares gives null splits.
+    Groups are placed largest first, each to the split furthest below its target; a record without a
+    group is one of its own.  Groups of one size are interchangeable, so what reaches the driver is a
+    row per different size, fewer than twice the square root of the records, and a row per split; which
+    groups of a size go where follows a hash of their key.  Shares are scaled to sum to one; an empty
+    table of shares gives null splits.
     """
+    spark = records.sparkSession
     keyed = record_keys(records)
     keys = grouped(keyed, key_groups(keyed, aliases))
-    node_root = keys.select("node", "root")
-    groups = keys.groupBy("root").agg(F.sum("n").alias("n"))
-    loose = keyed.where(F.col("node").isNull()).select(F.concat(F.lit("record:"), F.col("record_id").cast("string")).alias("root"), F.lit(1).cast("long").alias("n"))
-    units = groups.unionByName(loose)
-    bin_of = lambda c: F.pmod(F.xxhash64(c), F.lit(bins))
-    total = units.agg(F.sum("n")).first()[0] or 0
-    target = {r["split"]: float(r["share"]) for r in shares.select("split", "share").where(F.col("share") > 0).limit(1000).collect()}
+    loose_root = F.concat(F.lit("record:"), F.col("record_id").cast("string"))
+    loose = keyed.where(F.col("node").isNull())
+    units = cut(keys.groupBy("root").agg(F.sum("n").alias("n")).unionByName(loose.select(loose_root.alias("root"), F.lit(1).cast("long").alias("n"))))
+    sizes = {r["n"]: r["groups"] for r in units.groupBy("n").agg(F.count("*").alias("groups")).collect()}
+    total = sum(n * k for n, k in sizes.items())
+    target = {r["split"]: float(r["share"]) for r in shares.select("split", "share").where((F.col("share") > 0) & F.col("split").isNotNull()).collect()}
     scale = sum(target.values())
     target = {k: v / scale for k, v in target.items()}
-    if not target or not total:
-        placed = keyed.join(node_root, "node", "left").select("record_id", F.coalesce("root", F.concat(F.lit("record:"), F.col("record_id").cast("string"))).alias("group_key"), "split", F.lit(None).cast("string").alias("new_split"))
-        return placed
-    large = F.col("n") * bins >= F.lit(total)
-    big = [(r[0], r[1]) for r in units.where(large).select("root", "n").collect()]
-    small = [(str(r[0]), r[1]) for r in units.where(~large).groupBy(bin_of("root").alias("bin")).agg(F.sum("n").alias("n")).collect()]
     filled = dict.fromkeys(target, 0)
-    by_group = greedy_fill(big, target, filled, total)
-    by_bin = greedy_fill(small, target, filled, total)
-    spark = records.sparkSession
-    big_df = spark.createDataFrame(list(by_group.items()), "root string, big_split string")
-    bin_df = spark.createDataFrame([(int(k), v) for k, v in by_bin.items()], "bin long, bin_split string")
-    return (
-        keyed.join(node_root, "node", "left")
-        .withColumn("root", F.coalesce("root", F.concat(F.lit("record:"), F.col("record_id").cast("string"))))
-        .withColumn("bin", bin_of("root"))
-        .join(F.broadcast(big_df), "root", "left")  # at most bins rows
-        .join(F.broadcast(bin_df), "bin", "left")  # at most bins rows
-        .select("record_id", F.col("root").alias("group_key"), "split", F.coalesce("big_split", "bin_split").alias("new_split"))
-    )
+    names, plan = sorted(target), []
+    for n in sorted(sizes, reverse=True) if target else ():
+        got = fill_equal(n, sizes[n], target, filled, total)
+        plan.append((n, [sum(got[s] for s in names[: i + 1]) for i in range(len(names))]))
+    # The place of a group among those of its size, by hash, counted in two levels.
+    bins = max(16, min(1 << 20, sum(sizes.values()) // 50_000))
+    binned = units.withColumn("h", F.xxhash64("root")).withColumn("bin", F.pmod("h", F.lit(bins)))
+    per_bin = binned.groupBy("n", "bin").agg(F.count("*").alias("k"))
+    base = per_bin.select("n", "bin", (F.sum("k").over(Window.partitionBy("n").orderBy("bin")) - F.col("k")).alias("base"))
+    rank = F.col("base") + F.row_number().over(Window.partitionBy("n", "bin").orderBy("h", "root")) - 1
+    ends = spark.createDataFrame(plan, "n long, ends array<long>")
+    placed = binned.join(base, ["n", "bin"]).withColumn("rank", rank).join(ends, "n", "left")
+    split = F.get(F.array(*map(F.lit, names)).cast("array<string>"), F.size(F.expr("filter(ends, x -> x <= rank)")))
+    placed = placed.select("root", split.alias("new_split"))
+    # Keys get their split before records are joined to them; records without a key have a group each.
+    of_key = keys.select("node", "root").join(placed, "root").select("node", F.col("root").alias("group_key"), "new_split")
+    grouped_ = keyed.where(F.col("node").isNotNull()).join(of_key, "node").select("record_id", "group_key", "split", "new_split")
+    alone = loose.select("record_id", "split", loose_root.alias("root")).join(placed, "root").select("record_id", F.col("root").alias("group_key"), "split", "new_split")
+    return grouped_.unionByName(alone)

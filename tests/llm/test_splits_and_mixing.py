@@ -98,6 +98,20 @@ def test_greedy_fill_is_largest_first():
     assert splits.greedy_fill([("x", 5), ("y", 4), ("z", 1)], {"a": 0.5, "b": 0.5}, filled, 10) == {"x": "a", "y": "b", "z": "b"} and filled == {"a": 5, "b": 5}
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_equal_groups_are_filled_as_one_by_one(seed):
+    rng = np.random.default_rng(seed)
+    share = rng.dirichlet([1, 1, 1])
+    targets = dict(zip("abc", share.tolist()))
+    sizes = {int(n): int(k) for n, k in zip(rng.choice(np.arange(1, 60), 8, replace=False), rng.integers(1, 400, 8))}
+    total = sum(n * k for n, k in sizes.items())
+    one, bulk, counts = dict.fromkeys("abc", 0), dict.fromkeys("abc", 0), {}
+    for n in sorted(sizes, reverse=True):
+        got = splits.fill_equal(n, sizes[n], targets, bulk, total)
+        by_one = splits.greedy_fill([(f"{n}-{i}", n) for i in range(sizes[n])], targets, one, total)
+        assert got == {s: sum(v == s for v in by_one.values()) for s in "abc"} and bulk == one
+
+
 EXAMPLE = "example_id long, split string, messages array<struct<role string, content string>>, metadata struct<source string>"
 TARGET = "source string, target_share double, max_repeats int"
 
