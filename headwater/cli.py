@@ -46,6 +46,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--gpu", action="store_true")
     parser.add_argument("--cpu", action="store_true")
     parser.add_argument("--force", "-f", action="store_true")
+    argv = sys.argv[1:] if argv is None else argv
     args = parser.parse_args(argv)
     wrong = None
     if not args.input.exists():
@@ -59,7 +60,7 @@ def main(argv: list[str] | None = None) -> int:
     if wrong:
         print(f"Error: {wrong}", file=sys.stderr)
         return 1
-    if args.endpoint is None and args.api_key is not None and argv is not None and "--api-key" in argv:
+    if args.endpoint is None and any(a.split("=")[0] == "--api-key" for a in argv):
         wrong = "--api-key needs --endpoint"
     elif args.endpoint is not None and (args.gpu or args.cpu):
         wrong = "--gpu and --cpu don't go with --endpoint"
@@ -79,4 +80,4 @@ def main(argv: list[str] | None = None) -> int:
 
 
 if __name__ == "__main__":
-    raise SystemExit(main(sys.argv[1:]))
+    raise SystemExit(main())

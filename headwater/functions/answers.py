@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-import re
+MOST_LEVELS = 6
 
-_LINE = re.compile(r"(#{1,6})\s+(.+)$")
+
+def heading_of(line: str) -> tuple[str, int] | None:
+    """(text, level) of a line of one to six hashes, white space and text."""
+    bare = line.strip()
+    title = bare.lstrip("#")
+    level = len(bare) - len(title)
+    return (title.strip(), level) if 0 < level <= MOST_LEVELS and title[:1].isspace() else None
 
 
 def parse_headings(text: str) -> list[tuple[str, int]]:
-    """(text, level) of the heading lines; everything else is dropped."""
-    found = (_LINE.match(line.strip()) for line in text.strip().splitlines())
-    return [(m[2].strip(), len(m[1])) for m in found if m]
+    """Those of the heading lines, in order; everything else is dropped."""
+    return [h for h in map(heading_of, text.splitlines()) if h]
 
 
 def parse_levels(text: str) -> list[int]:

@@ -62,7 +62,7 @@ def pieces(text: Column) -> Column:
 
 
 def piece_count(text: Column) -> Column:
-    return F.size(pieces(text)).cast("long")
+    return F.regexp_count(text, F.lit(PIECE)).cast("long")
 
 
 def shorten(text: str, head: int, tail: int, tok: Tokenizer, gap: str = "\n[...]\n") -> str:

@@ -10,11 +10,13 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from headwater.functions import markdown as M
+from headwater.functions.answers import parse_levels
 from headwater.operators.chat import SYSTEM_PROMPT
 
 # Headings that stand at the top level.
@@ -45,6 +47,27 @@ class LevelPredictor(Protocol):
     def predict(self, texts: list[str], stripped: str) -> list[int]: ...
 
 
+class BatchPredictor(Protocol):
+    """The same for several documents (texts, stripped) at once, as a model on a GPU wants them."""
+
+    def predict_batch(self, documents: list[tuple[list[str], str]]) -> list[list[int]]: ...
+
+
+@dataclass
+class ModelPredictor:
+    """A local model: ``generate`` answers a batch of chats, each a list of {role, content}, with at most that many tokens each."""
+
+    generate: Callable[[list[list[dict[str, str]]], int], list[str]]
+    system: str = SYSTEM_PROMPT
+    per_heading: int = 40
+    least_tokens: int = 256
+
+    def predict_batch(self, documents: list[tuple[list[str], str]]) -> list[list[int]]:
+        chats = [[{"role": "system", "content": self.system}, {"role": "user", "content": stripped}] for _, stripped in documents]
+        most = max((self.per_heading * len(texts) for texts, _ in documents), default=0)
+        return [parse_levels(answer) for answer in self.generate(chats, max(most, self.least_tokens))]
+
+
 @dataclass
 class FunctionPredictor:
     """A plain function list[str] -> list[int] as a predictor."""
@@ -77,8 +100,6 @@ class RemotePredictor:
     timeout: float = 300.0
 
     def predict(self, texts: list[str], stripped: str) -> list[int]:
-        from headwater.functions.answers import parse_levels
-
         body = {
             "model": self.model,
             "messages": [{"role": "system", "content": SYSTEM_PROMPT}, {"role": "user", "content": stripped}],
@@ -90,25 +111,55 @@ class RemotePredictor:
             return parse_levels(json.load(answer)["choices"][0]["message"]["content"])
 
 
-def predict_levels(df: DataFrame, make: Callable[[], LevelPredictor], *, texts_col: str = "titles", stripped_col: str = "stripped", long_tokens: int | None = None, token_col: str = "token_count") -> DataFrame:
-    """df with a column predicted: array<int>; the predictor is made once per task.
+_MADE: dict = {}
+
+
+def once_a_worker(make: Callable):
+    """make()'s result, kept by the worker: tasks that come with the same factory share it."""
+    key = cloudpickle.dumps(make)
+    if key not in _MADE:
+        _MADE.clear()
+        _MADE[key] = make()
+    return _MADE[key]
 
-    Rows keep their place in the batch, so the result needs no join.  With long_tokens, documents of
-    at least that many tokens go to the predictor in a pass of their own.
-    """
 
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        predictor = make()
-        for titles, stripped in batches:
-            yield pd.Series([[int(x) for x in predictor.predict(list(t), s)] if t is not None else None for t, s in zip(titles, stripped)])
+def answer(predictor, documents: list[tuple[list[str], str]], tokens: list[int], batch_size: int, long_tokens: int | None, long_size: int) -> list[list[int]]:
+    """Levels of each document, documents of like length together, those of at least long_tokens tokens long_size at a time."""
+    if not hasattr(predictor, "predict_batch"):
+        return [predictor.predict(*d) for d in documents]
+    out: list = [None] * len(documents)
+    order = sorted(range(len(documents)), key=tokens.__getitem__)
+    is_long = [i for i in order if long_tokens is not None and tokens[i] >= long_tokens]
+    usual = order[: len(order) - len(is_long)]
+    for group, size in ((usual, batch_size), (is_long, long_size)):
+        for at in range(0, len(group), size):
+            part = group[at : at + size]
+            for i, levels in zip(part, predictor.predict_batch([documents[i] for i in part]), strict=True):
+                out[i] = levels
+    return out
 
-    def column() -> Column:
-        return F.pandas_udf(run, T.ArrayType(T.IntegerType())).asNondeterministic()(F.col(texts_col), F.col(stripped_col))
 
-    if long_tokens is None:
-        return df.withColumn("predicted", column())
-    is_long = F.coalesce(F.col(token_col) >= long_tokens, F.lit(False))
-    return df.where(~is_long).withColumn("predicted", column()).unionByName(df.where(is_long).withColumn("predicted", column()))
+def predict_levels(
+    df: DataFrame, make: Callable[[], LevelPredictor | BatchPredictor], *, texts_col: str = "titles", stripped_col: str = "stripped", batch_size: int = 16, long_tokens: int | None = None, long_size: int = 1, token_col: str = "token_count"
+) -> DataFrame:
+    """df with a column predicted: array<int>; the predictor is made once per worker.
+
+    Rows keep their place, so the result needs no join.  A predictor with predict_batch gets documents
+    of like length, batch_size at a time; those of at least long_tokens tokens apart, long_size at a time.
+    """
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        predictor = once_a_worker(make)
+        for titles, stripped, tokens in batches:
+            given = [i for i, t in enumerate(titles) if t is not None]
+            levels = answer(predictor, [(list(titles[i]), stripped[i]) for i in given], [int(tokens[i]) for i in given], batch_size, long_tokens, long_size)
+            out: list = [None] * len(titles)
+            for i, found in zip(given, levels):
+                out[i] = [int(x) for x in found]
+            yield pd.Series(out, dtype=object)
+
+    size = F.coalesce(F.col(token_col), F.lit(0)) if token_col in df.columns else F.coalesce(F.length(stripped_col), F.lit(0))
+    return df.withColumn("predicted", F.pandas_udf(run, T.ArrayType(T.IntegerType())).asNondeterministic()(F.col(texts_col), F.col(stripped_col), size.cast("long")))
 
 
 def rehead(df: DataFrame, make: Callable[[], LevelPredictor], text_col: str = "content", *, spec: str = "piece", compat: bool = False) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from headwater.session import cut
+
 # How many accepted documents each bucket takes, and copies by depth.
 BUCKET_TARGETS = {"< 4k": 50_000, "4k-8k": 30_000, "8k-16k": 15_000, "16k-32k": 10_000}
 DEPTH_MULTIPLIERS = {4: 2, 5: 4, 6: 8}
@@ -61,28 +61,16 @@ def split_keys(df: DataFrame, key_col: str, train: float = 0.9, validation: floa
 
 
 def split_by_key(df: DataFrame, key_col: str, **settings) -> DataFrame:
-    """df with a column split; all rows of a key in one.  The key table joins by its size: AQE broadcasts or splits skew."""
-    return df.join(split_keys(df, key_col, **settings).withColumnRenamed("key", key_col), key_col)
-
-
-def split_in_python_order(keys_with_counts: list[tuple[str, int]], train: float, validation: float, seed: int) -> dict[str, str]:
-    """The same fill in the order of Python's seeded shuffle, for key lists that fit the driver."""
-    keys = sorted(k for k, _ in keys_with_counts)
-    counts = dict(keys_with_counts)
-    random.Random(seed).shuffle(keys)
-    total = sum(counts.values())
-    out, filled = {}, {"train": 0, "validation": 0}
-    for key in keys:
-        if filled["train"] < int(total * train):
-            to = "train"
-        elif filled["validation"] < int(total * validation):
-            to = "validation"
-        else:
-            to = "test"
-        if to in filled:
-            filled[to] += counts[key]
-        out[key] = to
-    return out
+    """df with a column split; all rows of a key in one.
+
+    The key table is stored once, narrow.  Rows of the empty key, of which there may be very many, are
+    spread over a thousand values that match nothing and get that key's split from a subquery.
+    """
+    keys = cut(split_keys(df, key_col, **settings))
+    empty = F.col(key_col) == ""
+    spread = F.when(empty, F.concat(F.lit("\0"), F.pmod(F.monotonically_increasing_id(), F.lit(1000)).cast("string"))).otherwise(F.col(key_col))
+    joined = df.withColumn("__key", spread).join(keys.where("key != ''").withColumnRenamed("key", "__key"), "__key", "left").drop("__key")
+    return joined.withColumn("split", F.when(empty, keys.where("key = ''").select("split").scalar()).otherwise(F.col("split")))
 
 
 def copies(level_col: Column, multipliers: dict[int, int] | None = None) -> Column:

@@ -382,7 +382,7 @@ def f3_bpe_count(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", tokens.token_count(F.col("text"), spec).alias("tokens"))
 
 
-@query()
+@query("select example_id, coalesce(metadata.token_count, 0) as token_count from training_examples")
 def q5_length_batches(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "training_examples").select("example_id", F.coalesce("metadata.token_count", F.lit(0)).alias("token_count"))
     return sampling.length_batches(df, "token_count", 8)
@@ -394,6 +394,16 @@ def b5_rehead_heuristic(spark: SparkSession, d: str) -> DataFrame:
     return predict.rehead(table(spark, d, "raw_documents").where(F.col("content").isNotNull()).select("record_id", "content"), predict.HeuristicPredictor).select("record_id", "reheaded")
 
 
+@query(
+    corpus.SQL + """ select record_id, array_to_string(list_transform(titles, lambda t, i: concat(
+        case when i = 1 then '# ' else '## ' end, t, chr(10), chr(10), case when (i - 1) % 3 = 2 then concat('```', chr(10), '# not a heading', chr(10), '```', chr(10), chr(10)) else '' end,
+        'Body of ', t, ': ', repeat('alpha beta gamma delta ', cast(record_id % 7 * i * 5 as int)), 'end.')), concat(chr(10), chr(10))) as reheaded from d"""
+)
+def b5_rehead(spark: SparkSession, d: str) -> DataFrame:
+    """The same on the derived corpus, whose titles are first or plain ones to the heuristic."""
+    return predict.rehead(corpus.derived(table(spark, d, "raw_documents")), predict.HeuristicPredictor).select("record_id", "reheaded")
+
+
 @query()
 def path_a_ingest(spark: SparkSession, d: str) -> DataFrame:
     """Markdown files of the code corpus to raw documents, with the quota of every bucket."""
@@ -403,7 +413,7 @@ def path_a_ingest(spark: SparkSession, d: str) -> DataFrame:
 
 def _prepared(spark: SparkSession, d: str) -> DataFrame:
     raw = table(spark, d, "raw_documents").where(F.col("content").isNotNull()).select("record_id", "content", "source", "meta")
-    return pipelines.prepare(filters.with_spans(raw))
+    return pipelines.prepare(raw)
 
 
 @query()

@@ -36,11 +36,14 @@ def ingest_wiki(pages: DataFrame, **limits: int) -> DataFrame:
 
 
 def prepare(raw: DataFrame, *, spec: str = "piece", least_tokens: int = 100, most_tokens: int = 31_000, train: float = 0.9, validation: float = 0.05, seed: int = 42, head: int = 128, tail: int = 128, prompt_tokens: int = 7500) -> DataFrame:
-    """Raw documents (content, spans, source, meta) to chat examples with their split: token filter,
-    leak-free split by key, oversampling of deep documents in train, stripping, formatting."""
+    """Raw documents (content, source, meta, and spans if they are parsed already) to chat examples with
+    their split: token filter, leak-free split by key, oversampling of deep documents in train,
+    stripping, formatting.  Texts are parsed after the filter."""
     df = raw.where(filters.token_filter(tokens.token_count(F.col("content"), spec), least_tokens, most_tokens))
     df = df.withColumn("split_key", sampling.split_key(F.col("meta.repo"), F.col("meta.title")))
     df = sampling.split_by_key(df, "split_key", train=train, validation=validation, seed=seed)
+    if "spans" not in raw.columns:
+        df = filters.with_spans(df)
     examples = chat.build_examples(df.withColumn("all_levels", M.levels(F.col("spans"))), spec=spec, head=head, tail=tail, most_tokens=prompt_tokens)
     # Copies are made last: nothing is stripped or counted twice.
     return sampling.oversample(examples, "all_levels", where=F.col("split") == "train").drop("all_levels", "spans")

@@ -35,10 +35,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder that spark.checkpoint.dir names.
 
-    Only where the session names none (tests, a local run) a temporary folder is set.
+    Only where a local session names none (tests, a local run) a temporary folder is set; on a cluster
+    executors couldn't share it, so that raises.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="headwater-checkpoint-"))
     return df.checkpoint(eager=True)
 

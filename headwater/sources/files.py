@@ -25,9 +25,12 @@ def read_wiki_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_raw_json(spark: SparkSession, folder: str) -> DataFrame:
-    """All ``*_raw.jsonl`` of a folder: the documents, with file and place for an order by file name; blank lines don't count."""
-    df = spark.read.schema(RAW_SCHEMA).json(f"{folder.rstrip('/')}/*_raw.jsonl").select("*", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("file_block"), F.monotonically_increasing_id().alias("ordinal"))
-    return df.where(F.col("content").isNotNull())
+    """All ``*_raw.jsonl`` of a folder: the documents, with file and place for an order by file name.
+
+    Blank lines don't count; a malformed line is an error.
+    """
+    df = spark.read.schema(RAW_SCHEMA).option("mode", "FAILFAST").json(f"{folder.rstrip('/')}/*_raw.jsonl").select("*", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("file_block"), F.monotonically_increasing_id().alias("ordinal"))
+    return df.where(F.coalesce(*(F.col(c).cast("string") if c == "content" else F.when(F.col(c).isNotNull(), "") for c in ("content", "headings", "source", "meta"))).isNotNull())
 
 
 def read_examples(spark: SparkSession, path: str) -> DataFrame:

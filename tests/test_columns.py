@@ -169,12 +169,6 @@ def test_split_of_nothing(spark):
     assert sampling.split_keys(spark.createDataFrame([], "key string"), "key").count() == 0
 
 
-def test_python_order_is_whole_and_leak_free():
-    got = sampling.split_in_python_order([(f"k{i}", i % 4 + 1) for i in range(50)], 0.9, 0.05, 42)
-    assert set(got.values()) <= {"train", "validation", "test"} and len(got) == 50
-    assert got == sampling.split_in_python_order([(f"k{i}", i % 4 + 1) for i in reversed(range(50))], 0.9, 0.05, 42)
-
-
 def test_quota(spark):
     df = spark.createDataFrame([(i, "a" if i % 2 else "b") for i in range(20)] + [(99, "c"), (98, None)], "id int, bucket string")
     got = sorted(tuple(r) for r in sampling.bucket_quota(df, "id", targets={"a": 3, "b": 1}).collect())

@@ -107,7 +107,65 @@ def test_long_documents_go_apart(spark):
     assert sorted(len(r["predicted"]) for r in got) == [1, 1, 2]
 
 
-def test_cli(tmp_path, capsys, endpoint):
+class Chats:
+    """Counts its batches; answers a level for each heading line of the document."""
+
+    made = 0
+
+    def __init__(self):
+        Chats.made += 1
+        self.sizes = []
+
+    def __call__(self, chats, most):
+        self.sizes.append(len(chats))
+        assert most >= 256 and all([m["role"] for m in c] == ["system", "user"] for c in chats)
+        return ["\n".join("### x" for line in c[1]["content"].split("\n") if line.startswith("# ")) for c in chats]
+
+
+def test_a_model_gets_batches():
+    chats = Chats()
+    model = predict.ModelPredictor(chats)
+    documents = [(["a"] * n, "# a\n" * n) for n in (5, 1, 9, 2, 7)]
+    got = predict.answer(model, documents, [5, 1, 900, 2, 700], 2, 100, 1)
+    assert got == [[3] * n for n in (5, 1, 9, 2, 7)] and chats.sizes == [2, 1, 1, 1]
+    assert predict.answer(model, [], [], 2, None, 1) == []
+    make = lambda: predict.ModelPredictor(Chats())
+    before = Chats.made
+    assert predict.once_a_worker(make) is predict.once_a_worker(make) and Chats.made == before + 1
+
+
+def test_a_model_as_predictor_of_a_table(spark):
+    def make():
+        return predict.ModelPredictor(lambda chats, most: ["## a\n### b" for _ in chats])
+
+    df = spark.createDataFrame([(["a", "b"], "# a\n# b", 5), (None, None, None)], "titles array<string>, stripped string, token_count int")
+    assert [r["predicted"] for r in predict.predict_levels(df, make, long_tokens=3).orderBy(F.col("titles").isNull()).collect()] == [[2, 3], None]
+
+
+def test_corpora_are_read_by_their_columns(spark, tmp_path):
+    code = [("a/b.md", "x", "o/r", "mit", 1), ("a/b.py", "y", "o/r", None, 2), (None, "z", None, None, 3)]
+    spark.createDataFrame(code, "path string, content string, repo_name string, license string, extra int").write.parquet(str(tmp_path / "code"))
+    assert [tuple(r) for r in files.read_code_corpus(spark, str(tmp_path / "code")).collect()] == [("a/b.md", "x", "o/r", "mit")]
+    spark.createDataFrame([("t", "# x", 5, ["c"], 1)], "title string, markdown string, pageid long, categories array<string>, extra int").write.parquet(str(tmp_path / "wiki"))
+    wiki = files.read_wiki_corpus(spark, str(tmp_path / "wiki"))
+    assert wiki.columns == ["title", "markdown", "pageid", "categories"] and wiki.count() == 1
+    files.write_splits(spark.createDataFrame([(1, "train"), (2, "test")], "id int, split string"), str(tmp_path / "out"))
+    assert sorted(p.name for p in (tmp_path / "out").glob("split=*")) == ["split=test", "split=train"]
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "c_raw.jsonl").write_text('{"content": "x"}\n{broken\n')
+    with pytest.raises(Exception):
+        files.read_raw_json(spark, str(tmp_path / "raw")).collect()
+
+
+def test_keyless_documents_share_a_split(spark):
+    from headwater.operators import sampling
+
+    rows = [(i, "" if i % 2 else f"k{i % 14}") for i in range(200)]
+    out = sampling.split_by_key(spark.createDataFrame(rows, "id int, k string"), "k", train=0.5).collect()
+    assert len(out) == 200 and len({r["split"] for r in out if r["k"] == ""}) == 1 and all(r["split"] for r in out)
+
+
+def test_cli(tmp_path, capsys, endpoint, monkeypatch):
     source = tmp_path / "a.md"
     source.write_text(DOC)
     assert cli.main(["-i", str(source)]) == 0 and capsys.readouterr().out == "# A\n\nintro\n\n## B\n\ntext\n"
@@ -117,6 +175,8 @@ def test_cli(tmp_path, capsys, endpoint):
     assert cli.main(["-i", str(tmp_path / "none.md")]) == 1 and cli.main(["-i", str(tmp_path)]) == 1
     (tmp_path / "a.txt").write_text("x")
     assert cli.main(["-i", str(tmp_path / "a.txt")]) == 1
+    monkeypatch.setattr(cli.sys, "argv", ["rehead", "-i", str(source), "--api-key=x"])
+    assert cli.main() == 2
     assert cli.main(["-i", str(source), "--api-key", "x"]) == 2 and cli.main(["-i", str(source), "--endpoint", endpoint, "--gpu"]) == 2
 
 
