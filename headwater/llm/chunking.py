@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from headwater.session import cut
+
 # Natural places, best first: before a heading, after a blank line, after a line, after a sentence, after a word.
 _PLACES = (
     (5, re.compile(r"(?<=\n)(?= {0,3}#{1,6}[ \t])")),
@@ -231,8 +233,12 @@ def _oversized(df: DataFrame, id_col: str, text_col: str, limit: int) -> DataFra
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") > limit)
 
 
-def _stitched(ranges: DataFrame, limit: int, overlap: int, range_chars: int, halo: int) -> DataFrame:
-    jumps = ranges.mapInArrow(_jump_rows(limit, overlap, range_chars, halo), _JUMPS)
+def _tables(ranges: DataFrame, limit: int, overlap: int, range_chars: int, halo: int) -> DataFrame:
+    """Line and jump tables of all ranges: without texts, so they are stored rather than made for each use."""
+    return cut(ranges.mapInArrow(_jump_rows(limit, overlap, range_chars, halo), _JUMPS))
+
+
+def _stitched(jumps: DataFrame, range_chars: int) -> DataFrame:
     return jumps.repartition("id").sortWithinPartitions("id", "range_no").mapInArrow(_stitch_rows(range_chars), "id long, range_no long, begin long, longest long")
 
 
@@ -250,12 +256,13 @@ def split_oversized(df: DataFrame, id_col: str, text_col: str, *, limit: int = 6
     # A text that is one range begins at 0 and needs no stitching.
     alone = ranges.where(F.col("chars") <= range_chars).withColumn("begin", F.lit(0).cast("long"))
     long = ranges.where(F.col("chars") > range_chars)
-    entered = long.join(_stitched(long, limit, overlap, range_chars, halo).select("id", "range_no", "begin"), ["id", "range_no"]).select("id", "chars", "range_no", "part", "begin")
+    entered = long.join(_stitched(_tables(long, limit, overlap, range_chars, halo), range_chars).select("id", "range_no", "begin"), ["id", "range_no"]).select("id", "chars", "range_no", "part", "begin")
     schema = "id long, piece_no long, begin_at long, end_at long, natural boolean, piece string"
     emit = _emit_rows(limit, overlap, range_chars, halo)
-    # Pieces of a text that is one range are numbered where they are cut; only those of longer ones are gathered for it.
-    of_long = entered.mapInArrow(emit, schema).withColumn("piece_no", (F.row_number().over(Window.partitionBy("id").orderBy("begin_at")) - 1).cast("long"))
-    return alone.select("id", "chars", "range_no", "part", "begin").mapInArrow(emit, schema).unionByName(of_long)
+    # Pieces of a text that is one range are numbered where they are cut; for longer ones their places alone are gathered.
+    of_long = cut(entered.mapInArrow(emit, schema).drop("piece_no"))
+    number = of_long.select("id", "begin_at").withColumn("piece_no", (F.row_number().over(Window.partitionBy("id").orderBy("begin_at")) - 1).cast("long"))
+    return alone.select("id", "chars", "range_no", "part", "begin").mapInArrow(emit, schema).unionByName(of_long.join(number, ["id", "begin_at"]))
 
 
 def oversized_items(df: DataFrame, id_col: str, text_col: str, *, limit: int = 6000, overlap: int = 200, range_chars: int = 1 << 14) -> DataFrame:
@@ -266,8 +273,8 @@ def oversized_items(df: DataFrame, id_col: str, text_col: str, *, limit: int = 6
     """
     halo = _settings(limit, overlap, range_chars)
     ranges = _oversized(df, id_col, text_col, limit).mapInArrow(_range_rows(range_chars, halo), "id long, chars long, range_no long, part string")
-    jumps = ranges.mapInArrow(_jump_rows(limit, overlap, range_chars, halo), _JUMPS)
+    jumps = _tables(ranges, limit, overlap, range_chars, halo)
     alone = jumps.where((F.col("chars") <= range_chars) & (F.col("pieces") > 1)).select("id", "chars", F.greatest("head", "tail", "longest").alias("longest_line"))
     long = jumps.where(F.col("chars") > range_chars)
-    ends = long.select("id", "chars").distinct().join(_stitched(ranges.where(F.col("chars") > range_chars), limit, overlap, range_chars, halo).groupBy("id").agg(F.max("longest").alias("longest_line")), "id")
+    ends = long.where("range_no = 0").select("id", "chars").join(_stitched(long, range_chars).groupBy("id").agg(F.max("longest").alias("longest_line")), "id")
     return alone.unionByName(ends).withColumn("cut", F.when(F.col("longest_line") > limit, "inside").otherwise("line"))
