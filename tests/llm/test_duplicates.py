@@ -173,6 +173,14 @@ def test_a_crowded_group_of_reworked_copies_is_found_whole(spark):
     assert got <= want and len(want - got) <= len(want) // 1000
 
 
+def test_a_text_that_has_a_key_twice_is_no_pair():
+    from headwater.llm import meet
+
+    rows = [np.array(c, np.int64) for c in ([5] * 4, [1, 1, 2, 2], [40] * 4, *[[0] * 4] * 5)]
+    x, y = meet._pairs(rows, np.array([0]), np.array([4]), False, 0.5, 60)
+    assert set(zip(x.tolist(), y.tolist())) == {(1, 2)}
+
+
 def test_alignment_covers_what_is_shared():
     a = np.arange(100, 200, dtype=np.uint64)
     b = np.concatenate([np.arange(50, 60), np.arange(100, 140), [7, 8], np.arange(142, 200)]).astype(np.uint64)
