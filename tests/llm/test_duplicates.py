@@ -157,6 +157,51 @@ def test_a_contained_record_is_covered(spark):
     assert [r["partners"] for r in overlap.record_report(*overlap.cross_split(texts)).where("id = 1").collect()] == [0]
 
 
+def contained_of(rows, share):
+    """All pairs (train, held) of one kind by brute force."""
+    side = {"train": 0, "validation": 1, "test": 1}
+    of = {(r[0], r[1]): (side[r[2]], x) for r in rows for x in [sets([(1, r[4])]).get(1)] if x}
+    return {(a[0], a[1], b[1]) for a, (s, x) in of.items() for b, (t, y) in of.items() if (s, t) == (0, 1) and a[0] == b[0] and len(x & y) / min(len(x), len(y)) >= share}
+
+
+def test_contained_records_are_found_whatever_number_of_texts_has_their_runs(spark):
+    """Every run of the records is in more texts than the limit, on both sides."""
+    rng = random.Random(31)
+    own, rows = edited(rng, 120, 0)[0], []
+    for i in range(40):
+        text = list(own)
+        text[rng.randrange(120)] = f"z{i}"
+        rows.append(("raw", i, "train" if i % 2 else "test", "s", " ".join(edited(rng, 900, 0)[0] + text + edited(rng, 900, 0)[0] if i % 2 else text)))
+    texts = spark.createDataFrame(rows, "kind string, id long, split string, source string, text string")
+    report = overlap.record_report(*overlap.cross_split(texts, contained=0.8, limit=8), contained=0.8).collect()
+    assert len(report) == 20 and all(r["partners"] == 20 and r["covered_words"] >= 114 for r in report)
+
+
+def test_contained_records_are_those_of_brute_force(spark):
+    """Shares around the bound in one stretch, in scattered pieces and in changed words, either side the longer one, and a phrase in every text."""
+    rng, rows = random.Random(12), []
+    phrase = [f"p{i}" for i in range(50)]
+
+    def add(kind, split, text):
+        rows.append((kind, len(rows), split, "s", " ".join(text)))
+
+    for n in (30, 33, 60, 150, 700):
+        for share in (0.0, 0.03, 0.06, 0.07, 0.08, 0.12):
+            for times, across in ((1, False), (4, True), (30, False), (30, True)):
+                a, b = edited(rng, n, share)
+                pieces = [b[i : i + 25] for i in range(0, n, 25)] if across else [b]
+                long = [w for x in pieces for w in edited(rng, times * n // len(pieces), 0)[0] + x]
+                held, train = (a, long) if rng.random() < 0.5 else (long, a)
+                add("raw", "test", phrase + held if n < 100 else held), add("raw", "train", phrase + train)
+        add("example", "train", a), add("example", "test", b), add("raw", "validation", a), add("raw", "train", a), add("raw", "train", long)
+    texts = spark.createDataFrame(rows, "kind string, id long, split string, source string, text string")
+    members, pairs = overlap.cross_split(texts, contained=0.8, limit=8)
+    train, held = (members.where(F.col("side") == s).select("kind", F.col("id").alias(f"id_{s}"), F.col("rep").alias(rep)) for s, rep in ((0, "train_rep"), (1, "held_rep")))
+    got = [tuple(r) for r in pairs.where("contained >= 0.8").join(train, "train_rep").join(held, ["held_rep", "kind"]).select("kind", "id_0", "id_1").collect()]
+    want = contained_of(rows, 0.8)
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 60
+
+
 def test_a_crowded_group_of_reworked_copies_is_found_whole(spark):
     """Every fingerprint of the group is crowded at every level, and no link is lost."""
     rng = random.Random(21)
