@@ -226,6 +226,60 @@ def test_a_text_that_has_a_key_twice_is_no_pair():
     assert set(zip(x.tolist(), y.tolist())) == {(1, 2)}
 
 
+def test_pairs_of_full_keys_are_compared_a_part_at_a_time():
+    import tracemalloc
+
+    from headwater.llm import meet
+
+    n, each = 20, 512
+    rng = np.random.default_rng(5)
+    sketch = rng.integers(-(2**63), 2**63 - 1, (4, n * each), dtype=np.int64)
+    sketch[:, each + 300] = sketch[:, each + 7]
+    key, size = np.repeat(np.arange(n), each), np.tile(np.repeat([-40, 40], each // 2), n)
+    rows = [key, np.arange(n * each), size, *sketch, np.zeros(n * each, np.int64)]
+    tracemalloc.start()
+    x, y = meet._pairs(rows, np.arange(n) * each, np.full(n, each), True, 0.5, 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert list(zip(x.tolist(), y.tolist())) == [(each + 7, each + 300)] and peak < 32e6
+
+
+def test_a_task_of_the_keys_runs_one_function_and_no_worker_keeps_its_words(spark, monkeypatch):
+    import time
+
+    import pyarrow as pa
+
+    from headwater.llm import meet
+
+    rng, seen, real = random.Random(3), [], meet.met_pairs
+    monkeypatch.setattr(meet, "met_pairs", lambda rows, **kw: seen.append(rows) or real(rows, **kw))
+    rows = [("raw", i, "train" if i % 2 else "test", "s", "onlyhere " + " ".join(edited(rng, 60, 0)[0])) for i in range(40)]
+    rows += [("raw", 40, "train", "s", rows[0][4]), ("raw", 41, "train", "s", rows[0][4])]
+    overlap.cross_split(spark.createDataFrame(rows, "kind string, id long, split string, source string, text string"))
+
+    def functions(node):
+        """Most Python functions between two exchanges at or below the node, and those of its own stage."""
+        below = [functions(node.children().apply(i)) for i in range(node.children().size())]
+        own = sum(b[1] for b in below) if node.nodeName() != "Union" else max(b[1] for b in below)
+        own = 0 if "Exchange" in node.nodeName() else own + (node.nodeName() == "MapInArrow")
+        return max([own, *(b[0] for b in below)]), own
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = seen[0].where("level = 0")._jdf.queryExecution().executedPlan()
+        assert functions(plan)[0] == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+    def held(batches):
+        time.sleep(0.2)  # so that every idle worker gets a task
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([int("onlyhere" in words._memo)])], ["n"])
+
+    assert sum(r["n"] for r in spark.range(0, 16, 1, 16).mapInArrow(held, "n long").collect()) == 0
+
+
 def test_alignment_covers_what_is_shared():
     a = np.arange(100, 200, dtype=np.uint64)
     b = np.concatenate([np.arange(50, 60), np.arange(100, 140), [7, 8], np.arange(142, 200)]).astype(np.uint64)
